@@ -1,0 +1,259 @@
+"""Command line: a bare query searches; ``usage``, ``mcp``, ``schema`` and ``auth`` are commands."""
+
+from __future__ import annotations
+
+import argparse
+import json
+import os
+import sys
+from pathlib import Path
+
+from sextant import __version__
+from sextant.errors import CONTRACT_VERSION, EXIT_CODES, SextantError, classify, envelope
+from sextant.functions.paths import known_extensions
+from sextant.judge import LexicalJudge
+
+COMMANDS = ["run", "auth", "usage", "mcp", "schema"]
+KEY_NAME = "SEXTANT_JUDGE_KEY"
+ENVIRONMENT = [KEY_NAME, "SEXTANT_CONFIG_DIR", "SEXTANT_HOME", "SEXTANT_STATE_DIR", "NO_COLOR"]
+
+
+def build_parser() -> argparse.ArgumentParser:
+    parser = argparse.ArgumentParser(prog="sextant")
+    parser.add_argument("--version", action="version", version=__version__)
+    commands = parser.add_subparsers(dest="command", required=True)
+
+    def command(name: str, text: str) -> argparse.ArgumentParser:
+        sub = commands.add_parser(name, help=text)
+        if name != "schema":
+            sub.add_argument("-r", "--root", default=os.getcwd())
+        return sub
+
+    run = command("run", "Search the map (the default command).")
+    run.add_argument("query", nargs="+")
+    run.add_argument("--run", dest="run_id")
+    run.add_argument("-p", "--path")
+    run.add_argument("-l", "--limit", type=int)
+    run.add_argument("--budget", type=int, default=12)
+    run.add_argument("--min-confidence", type=float, default=0.2)
+    run.add_argument("--force", action="store_true")
+    run.add_argument("--json", action="store_true")
+    run.add_argument("--fields")
+    usage = command("usage", "Token usage and estimated cost of all runs.")
+    usage.add_argument("-l", "--limit", type=int, default=10)
+    usage.add_argument("--json", action="store_true")
+    mcp = command("mcp", "Answer tool calls on standard input and output.")
+    mcp.add_argument("--run", dest="run_id")
+    mcp.add_argument("--name", default="sextant")
+    auth = command("auth", "Keep the judge's key in the user configuration.")
+    auth.add_argument("--key")
+    auth.add_argument("--show", action="store_true")
+    command("schema", "Print the machine contract.")
+    return parser
+
+
+def with_default_command(args: list[str], parser: argparse.ArgumentParser) -> list[str]:
+    """Insert ``run`` where the first positional word is no command."""
+    if any(arg in ("-h", "--help", "--version") for arg in args):
+        return args
+    takes_value = {"-r", "--root", "--run", "-p", "--path", "-l", "--limit", "--budget",
+                   "--min-confidence", "--fields", "--key", "--name"}
+    words = iter(args)
+    first = None
+    for arg in words:
+        if arg.startswith("-"):
+            if arg in takes_value:
+                next(words, None)
+            continue
+        first = arg
+        break
+    if first in COMMANDS:
+        at = args.index(first)
+        return [first, *args[:at], *args[at + 1:]]
+    return ["run", *args]
+
+
+def manifest() -> dict:
+    parser = build_parser()
+    subs = next(a for a in parser._actions if isinstance(a, argparse._SubParsersAction))
+    commands = []
+    for pick in subs._choices_actions:
+        options = subs.choices[pick.dest]._actions
+        flags = [a.option_strings[-1] for a in options if a.option_strings and a.dest != "help"]
+        commands.append(
+            {"name": pick.dest, "summary": pick.help, "flags": flags,
+             "json": pick.dest in ("run", "usage", "schema")}
+        )
+    return {
+        "contract": CONTRACT_VERSION, "name": "sextant", "version": __version__,
+        "languages": known_extensions(), "commands": commands, "environment": ENVIRONMENT,
+        "exit_codes": EXIT_CODES,
+    }
+
+
+# --- the judge's key --------------------------------------------------------------------------------
+
+
+def config_file(env: dict[str, str]) -> Path:
+    base = env.get("SEXTANT_CONFIG_DIR")
+    if base:
+        return Path(base) / ".env"
+    home = env.get("XDG_CONFIG_HOME") or os.path.join(os.path.expanduser("~"), ".config")
+    return Path(home) / "sextant" / ".env"
+
+
+def _env_file(path: Path) -> dict[str, str]:
+    if not path.is_file():
+        return {}
+    pairs = (line.split("=", 1) for line in path.read_text().splitlines() if "=" in line)
+    return {name.strip(): value.strip().strip("\"'") for name, value in pairs
+            if not name.lstrip().startswith("#")}
+
+
+def find_key(root: str, env: dict[str, str]) -> tuple[str, str] | None:
+    """Key and where it came from: environment, the repository's file, the user's file."""
+    sources = [
+        ("the environment", env),
+        (str(Path(root) / ".env"), _env_file(Path(root) / ".env")),
+        (str(config_file(env)), _env_file(config_file(env))),
+    ]
+    return next(((values[KEY_NAME], name) for name, values in sources if values.get(KEY_NAME)), None)
+
+
+def mask(key: str) -> str:
+    return f"{key[:4]}…{key[-4:]}" if len(key) > 8 else "…"
+
+
+def save_key(key: str, env: dict[str, str]) -> Path:
+    file = config_file(env)
+    file.parent.mkdir(parents=True, exist_ok=True)
+    lines = file.read_text().splitlines() if file.is_file() else []
+    kept = [line for line in lines if not line.startswith(KEY_NAME + "=")]
+    file.touch(mode=0o600)
+    file.chmod(0o600)
+    file.write_text("\n".join([*kept, f"{KEY_NAME}={key}"]) + "\n")
+    return file
+
+
+def run_auth(root: str, key: str | None, show: bool, env: dict[str, str], stdin) -> str:
+    if show:
+        found = find_key(root, env)
+        if found is None:
+            return f"No {KEY_NAME} found. Run `auth` to store one."
+        return f"Using {KEY_NAME} from {found[1]} ({mask(found[0])})."
+    if not key and not stdin.isatty():
+        key = stdin.read().strip()
+    if not key:
+        raise SextantError("USAGE", "No key given.", "Pass --key or pipe it in.")
+    return f"Saved {KEY_NAME} to {save_key(key, env)}."
+
+
+# --- commands ---------------------------------------------------------------------------------------
+
+
+def _open(root: str):
+    from sextant.plans.store import Store, state_dir
+    from sextant.session import build_session
+
+    spark = build_session()
+    return spark, Store(spark, state_dir(root))
+
+
+def command_run(args, judge, want_json: bool) -> str:
+    from sextant import report
+    from sextant.plans.intent import project_fields, run_intent
+    from sextant.plans.scan import ensure_run
+
+    spark, store = _open(args.root)
+    run, scanned = ensure_run(spark, args.root, judge, store, args.run_id, args.force)
+    if scanned:
+        print(report.format_scan_summary(run.record), file=sys.stderr)
+    view = run_intent(
+        store, judge, " ".join(args.query), args.run_id, args.path, args.limit, args.budget,
+        args.min_confidence,
+    )
+    if want_json:
+        return json.dumps({"contract": CONTRACT_VERSION, **project_fields(view, args.fields)},
+                          indent=2)
+    return report.format_intent(view)
+
+
+def command_usage(args, want_json: bool) -> str:
+    from sextant import report
+    from sextant.operators import usage
+
+    _, store = _open(args.root)
+    ledger = store.ledger()
+    if ledger is None:
+        totals = dict.fromkeys(("runs", "calls", "cached", "input_tokens", "output_tokens"), 0)
+        rows, totals = [], {**totals, "cost_usd": 0.0}
+    else:
+        priced = usage.usage_rows(ledger)
+        rows = [r.asDict() for r in usage.latest_runs(priced, args.limit).collect()]
+        totals = usage.usage_totals(priced).first().asDict()
+    if want_json:
+        return json.dumps({"contract": CONTRACT_VERSION, "totals": totals, "rows": rows}, indent=2)
+    return report.format_usage(rows, totals, args.limit)
+
+
+def serve_tools(args, judge, dispatch, lines, out) -> None:
+    """Evidence tools stay bound to the run at the start; ``navigate`` checks freshness."""
+    from sextant import report
+    from sextant.plans.intent import run_intent
+    from sextant.plans.scan import ensure_run
+    from sextant.plans.toolbox import Toolbox, investigate_tool, navigate_tool
+    from sextant.streaming.rpc import serve
+
+    spark, store = _open(args.root)
+    run, _ = ensure_run(spark, args.root, judge, store, args.run_id)
+    box = Toolbox(run)
+
+    def navigate(intent: str, path: str | None, run_id: str | None) -> dict:
+        target = run_id or args.run_id
+        if not target:
+            ensure_run(spark, args.root, judge, store)
+        view = run_intent(store, judge, intent, target, path, limit=3)
+        return {"content": report.format_intent(view), "data": view}
+
+    routable = [*box.tools(), navigate_tool(navigate, box.area_choices)]
+    serve(args.name, __version__, [*routable, investigate_tool(routable, dispatch)], lines, out)
+
+
+def offline_dispatch(intent: str, questions: dict) -> dict:
+    """Offline choice of a tool: where to look is always answered by a search."""
+    known = "navigate" in questions["__tool__"] and bool(intent.strip())
+    return {"__tool__": {"choice": "navigate" if known else "__none__", "confidence": 0.5}}
+
+
+def main(argv: list[str] | None = None, judge=None, dispatch=offline_dispatch) -> int:
+    raw = sys.argv[1:] if argv is None else argv
+    parser = build_parser()
+    judge = judge or LexicalJudge()
+    want_json = "--json" in raw or not sys.stdout.isatty()
+    try:
+        args = parser.parse_args(with_default_command(raw, parser))
+        if args.command == "schema":
+            print(json.dumps(manifest(), indent=2))
+        elif args.command == "auth":
+            print(run_auth(args.root, args.key, args.show, dict(os.environ), sys.stdin))
+        elif args.command == "usage":
+            print(command_usage(args, want_json))
+        elif args.command == "mcp":
+            serve_tools(args, judge, dispatch, sys.stdin, sys.stdout)
+        else:
+            print(command_run(args, judge, want_json))
+    except SystemExit as stop:
+        return int(stop.code or 0)
+    except Exception as error:
+        failure = classify(error)
+        if want_json:
+            body = {"contract": CONTRACT_VERSION, **envelope(failure)}
+            print(json.dumps(body, indent=2), file=sys.stderr)
+        else:
+            print(f"{failure}\n{failure.hint or ''}".rstrip(), file=sys.stderr)
+        return failure.exit_code
+    return 0
+
+
+if __name__ == "__main__":
+    sys.exit(main())

@@ -6,7 +6,7 @@ be one row with an array of that size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.digest import lane_sums, lanes_digest
@@ -45,12 +45,27 @@ def dependents(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("path"), F.col("src").alias("dependent"))
 
 
+def review_context(edges: DataFrame, sample: int) -> DataFrame:
+    """What a review shows of the graph: a file's imports and its first ``sample`` dependents.
+
+    The row-number filter is applied ahead of the exchange, so a hub's dependents never meet.
+    """
+    imports = edges.groupBy(F.col("src").alias("path")).agg(
+        F.array_sort(F.collect_list("dst")).alias("imports")
+    )
+    order = Window.partitionBy("dst").orderBy("src")
+    first = (
+        edges.withColumn("at", F.row_number().over(order))
+        .where(F.col("at") <= sample)
+        .groupBy(F.col("dst").alias("path"))
+        .agg(F.array_sort(F.collect_list("src")).alias("dependents_sample"))
+    )
+    return imports.join(first, "path", "full")
+
+
 def graph_fingerprints(units: DataFrame, edges: DataFrame) -> DataFrame:
     """Digest of fan-in, fan-out and the set of dependents of every unit."""
-    sums = (
-        edges.groupBy(F.col("dst").alias("path"))
-        .agg(*lane_sums(F.col("src")))
-    )
+    sums = edges.groupBy(F.col("dst").alias("path")).agg(*lane_sums(F.col("src")))
     return (
         fan_in_out(units, edges)
         .join(sums, "path", "left")

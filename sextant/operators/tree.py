@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions import paths as P
@@ -119,6 +119,26 @@ def node_table(units: DataFrame) -> DataFrame:
     )
 
 
+CHILD_SAMPLE = 10  # fixed value
+
+
+def with_child_names(nodes: DataFrame) -> DataFrame:
+    """Add ``child_names``: the leading children of every area, one more than is ever shown."""
+    order = Window.partitionBy("parent").orderBy(*by_priority())
+    sample = (
+        nodes.where(F.col("parent").isNotNull())
+        .select("parent", "name", "path", "priority")
+        .withColumn("slot", F.row_number().over(order))
+        .where(F.col("slot") <= CHILD_SAMPLE + 1)
+        .groupBy(F.col("parent").alias("path"))
+        .agg(F.array_sort(F.collect_list(F.struct("slot", "name"))).alias("listed"))
+        .select("path", F.col("listed.name").alias("child_names"))
+    )
+    return nodes.join(sample, "path", "left").withColumn(
+        "child_names", F.coalesce("child_names", F.array().cast("array<string>"))
+    )
+
+
 def areas_of(nodes: DataFrame) -> DataFrame:
     """All areas but the root."""
     return nodes.where((F.col("kind") == "area") & (F.col("path") != ""))

@@ -1,0 +1,63 @@
+"""Newline-delimited JSON-RPC messages over a pair of text streams."""
+
+from __future__ import annotations
+
+import json
+from collections.abc import Iterable
+from typing import TextIO
+
+PROTOCOL_VERSION = "2025-06-18"  # fixed value
+METHOD_NOT_FOUND = -32601  # fixed value
+
+
+def call_tool(tools: list, params: dict | None) -> dict:
+    name = (params or {}).get("name")
+    tool = next((tool for tool in tools if tool.name == name), None)
+    if tool is None:
+        shown = name if name is not None else "undefined"
+        return {"content": [{"type": "text", "text": f"Unknown tool: {shown}"}], "isError": True}
+    try:
+        result = tool.run((params or {}).get("arguments") or {})
+    except Exception as error:  # reported to the caller, the stream goes on
+        return {"content": [{"type": "text", "text": str(error)}], "isError": True}
+    return {
+        "content": [{"type": "text", "text": result["content"]}],
+        "structuredContent": result["data"],
+    }
+
+
+def answer(name: str, version: str, tools: list, message: dict) -> dict | None:
+    """Response to one message; notifications have none."""
+    if message.get("id") is None:
+        return None
+    method = message.get("method")
+    if method == "initialize":
+        result = {
+            "protocolVersion": PROTOCOL_VERSION, "capabilities": {"tools": {}},
+            "serverInfo": {"name": name, "version": version},
+        }
+    elif method == "ping":
+        result = {}
+    elif method == "tools/list":
+        result = {"tools": [tool.listing() for tool in tools]}
+    elif method == "tools/call":
+        result = call_tool(tools, message.get("params"))
+    else:
+        error = {"code": METHOD_NOT_FOUND, "message": f"Method not found: {method or 'unknown'}"}
+        return {"jsonrpc": "2.0", "id": message["id"], "error": error}
+    return {"jsonrpc": "2.0", "id": message["id"], "result": result}
+
+
+def serve(name: str, version: str, tools: list, lines: Iterable[str], out: TextIO) -> None:
+    """Answer messages one after the other; blank and malformed lines are passed over."""
+    for line in lines:
+        try:
+            message = json.loads(line)
+        except ValueError:
+            continue
+        if not isinstance(message, dict):
+            continue
+        response = answer(name, version, tools, message)
+        if response is not None:
+            out.write(json.dumps(response, default=str) + "\n")
+            out.flush()
