@@ -1,0 +1,63 @@
+import io
+import json
+
+import pytest
+
+from sextant import cli
+from sextant.errors import SextantError, classify, envelope
+
+
+def routed(*args):
+    return cli.with_default_command(list(args), cli.build_parser())
+
+
+def test_routing():
+    assert routed("improve", "it") == ["run", "improve", "it"]
+    assert routed("--limit", "3", "usage") == ["usage", "--limit", "3"]
+    assert routed("--path", "usage", "fix") == ["run", "--path", "usage", "fix"]
+    assert routed("schema") == ["schema"]
+    assert routed("--help") == ["--help"]
+    assert routed() == ["run"]
+
+
+def test_schema(capsys):
+    assert cli.main(["schema"]) == 0
+    shown = json.loads(capsys.readouterr().out)
+    assert shown["contract"] == 1 and ".py" in shown["languages"]
+    run = next(c for c in shown["commands"] if c["name"] == "run")
+    assert "--min-confidence" in run["flags"]
+    assert shown["exit_codes"]["RUN_MISSING"] == 4
+
+
+def test_errors():
+    class Status(Exception):
+        def __init__(self, status):
+            super().__init__("x")
+            self.status = status
+
+    kinds = [classify(Status(s)).code for s in (401, 403, 500, "no")] + [classify(OSError()).code]
+    assert kinds == ["AUTH", "AUTH", "API", "INTERNAL", "INTERNAL"]
+    assert envelope(SextantError("USAGE", "m")) == {"error": {"code": "USAGE", "message": "m"}}
+    assert cli.main([]) == 2
+
+
+def test_keys(tmp_path):
+    env = {"SEXTANT_CONFIG_DIR": str(tmp_path / "config")}
+    root = str(tmp_path)
+
+    def auth(key=None, show=False, text=""):
+        stdin = io.StringIO(text)
+        return cli.run_auth(root, key, show, env, stdin)
+
+    with pytest.raises(SextantError):
+        auth()
+    (tmp_path / "config").mkdir()
+    (tmp_path / "config" / ".env").write_text("OTHER=1\n")
+    auth(text=" secret-key-123 \n")
+    file = tmp_path / "config" / ".env"
+    assert file.read_text() == f"OTHER=1\n{cli.KEY_NAME}=secret-key-123\n"
+    assert file.stat().st_mode & 0o777 == 0o600
+    assert "secr…-123" in auth(show=True)
+    (tmp_path / ".env").write_text(f"{cli.KEY_NAME}='nearer-key'\n")
+    assert cli.find_key(root, env)[0] == "nearer-key"
+    assert cli.find_key(root, {**env, cli.KEY_NAME: "first"}) == ("first", "the environment")
