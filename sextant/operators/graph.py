@@ -6,7 +6,7 @@ be one row with an array of that size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.digest import lane_sums, lanes_digest
@@ -17,27 +17,36 @@ def distinct_edges(edges: DataFrame) -> DataFrame:
     return edges.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
 
 
-def fan_counts(edges: DataFrame) -> DataFrame:
-    """fan_in and fan_out per file from one pass over distinct edges."""
+def _ends(edges: DataFrame) -> DataFrame:
+    """Both ends of every edge: where it leads into, and where it comes from."""
     ends = F.explode(
         F.array(
-            F.struct(F.col("src").alias("path"), F.lit(0).alias("into"), F.lit(1).alias("out")),
-            F.struct(F.col("dst").alias("path"), F.lit(1).alias("into"), F.lit(0).alias("out")),
+            F.struct(F.col("src").alias("path"), F.lit(None).cast("string").alias("dependent")),
+            F.struct(F.col("dst").alias("path"), F.col("src").alias("dependent")),
         )
     )
-    return (
-        edges.select(ends.alias("end"))
-        .groupBy(F.col("end.path").alias("path"))
-        .agg(F.sum("end.into").alias("fan_in"), F.sum("end.out").alias("fan_out"))
+    return edges.select(ends.alias("end")).select("end.path", "end.dependent")
+
+
+def fan_counts(edges: DataFrame, *extra: Column) -> DataFrame:
+    """fan_in and fan_out per file, and what else is aggregated over ``dependent``, in one
+    exchange over distinct edges."""
+    return _ends(edges).groupBy("path").agg(
+        F.count("dependent").alias("fan_in"),
+        F.count_if(F.col("dependent").isNull()).alias("fan_out"),
+        *extra,
     )
 
 
-def fan_in_out(units: DataFrame, edges: DataFrame) -> DataFrame:
+def fan_in_out(units: DataFrame, edges: DataFrame, *extra: Column) -> DataFrame:
     """Every unit with its fan-in and fan-out, zeros included."""
-    return units.select("path").join(fan_counts(edges), "path", "left").select(
+    counted = fan_counts(edges, *extra)
+    others = [name for name in counted.columns if name not in ("path", "fan_in", "fan_out")]
+    return units.select("path").join(counted, "path", "left").select(
         "path",
         F.coalesce("fan_in", F.lit(0)).alias("fan_in"),
         F.coalesce("fan_out", F.lit(0)).alias("fan_out"),
+        *others,
     )
 
 
@@ -65,12 +74,8 @@ def review_context(edges: DataFrame, sample: int) -> DataFrame:
 
 def graph_fingerprints(units: DataFrame, edges: DataFrame) -> DataFrame:
     """Digest of fan-in, fan-out and the set of dependents of every unit."""
-    sums = edges.groupBy(F.col("dst").alias("path")).agg(*lane_sums(F.col("src")))
-    return (
-        fan_in_out(units, edges)
-        .join(sums, "path", "left")
-        .select(
-            "path",
-            lanes_digest(F.col("fan_in"), 16, F.col("fan_out")).alias("graph_fingerprint"),
-        )
+    summed = fan_in_out(units, edges, *lane_sums(F.col("dependent")))
+    return summed.select(
+        "path",
+        lanes_digest(F.col("fan_in"), 16, F.col("fan_out")).alias("graph_fingerprint"),
     )

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sextant.session import cut_lineage
+
 # Commit classification. The lookarounds keep word edges ASCII in Java too.
 _EDGE = r"(?<![A-Za-z0-9_])", r"(?![A-Za-z0-9_])"
 BUGFIX = r"(?i)" + _EDGE[0] + r"(?:fix(?:es|ed)?|bug|hotfix|revert|regression|broken)" + _EDGE[1]
@@ -33,12 +35,11 @@ def date_rank(date: Column) -> Column:
     The latest and earliest date of a file compare as text. A number keeps the aggregation
     buffers fixed-width, hence in the hash aggregate, where text would fall back to sorting.
     """
-    digits = F.regexp_replace(F.substring(date, 1, 19), "[^0-9]", "").cast("bigint")
+    digits = F.translate(F.substring(date, 1, 19), "-T:", "").cast("bigint")
     sign = F.substring(date, 20, 1)
+    hhmm = F.translate(F.substring(date, 21, 5), ":", "")
+    offset = F.when(sign.isin("+", "-"), hhmm.cast("int")).otherwise(F.lit(0))
     zone = F.when(sign == "+", F.lit(0)).when(sign == "-", F.lit(10000)).otherwise(F.lit(20000))
-    offset = F.coalesce(
-        F.regexp_replace(F.substring(date, 21, 5), "[^0-9]", "").try_cast("int"), F.lit(0)
-    )
     return digits * F.lit(100000) + zone + offset
 
 
@@ -137,22 +138,16 @@ def changesets(touches: DataFrame, max_changeset: int = MAX_CHANGESET) -> DataFr
 def co_change_pairs(touches: DataFrame, max_changeset: int = MAX_CHANGESET) -> DataFrame:
     """Number of commits per file pair ``a < b``.
 
-    Pairs come from the bounded per-commit array, without a self-join, and are counted on the
-    map side before the exchange.
+    Pairs come from the bounded per-commit array by two explodes, without a self-join, and are
+    counted on the map side before the exchange.
     """
-    pairs = F.flatten(
-        F.transform(
-            "paths",
-            lambda a, at: F.transform(
-                F.slice("paths", at + 2, F.size("paths")),
-                lambda b: F.struct(a.alias("a"), b.alias("b")),
-            ),
-        )
+    firsts = changesets(touches, max_changeset).select(
+        "paths", F.posexplode("paths").alias("at", "a")
     )
+    later = F.slice("paths", F.col("at") + 2, F.size("paths"))
     return (
-        changesets(touches, max_changeset)
-        .select(F.explode(pairs).alias("pair"))
-        .groupBy(F.col("pair.a").alias("a"), F.col("pair.b").alias("b"))
+        firsts.select("a", F.explode(later).alias("b"))
+        .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("co_changes"))
     )
 
@@ -228,9 +223,15 @@ def file_history(
     min_co_changes: int = MIN_CO_CHANGES,
     top: int = TOP_COUPLINGS,
 ) -> DataFrame:
-    """All history columns of every touched file."""
+    """All history columns of every touched file.
+
+    ``touches`` is read three times; callers pass a stored table. The pairs above the threshold
+    feed both the counts and the strongest partners, so they are stored too.
+    """
     counters = churn(touches)
-    linked = couplings(co_change_pairs(touches, max_changeset), counters, min_co_changes)
+    linked = cut_lineage(
+        couplings(co_change_pairs(touches, max_changeset), counters, min_co_changes)
+    )
     return (
         counters.join(authorship(author_tally(touches)), "path", "left")
         .join(coupling_counts(linked), "path", "left")

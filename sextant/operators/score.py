@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.numeric import clamp01, half_up
+from sextant.session import cut_lineage
 
 # The judged dimensions, in order.
 DIMENSIONS = ["criticality", "blast_radius", "cohesion", "change_risk"]
@@ -83,9 +84,9 @@ def rank_table(values: DataFrame) -> DataFrame:
 def percentile_ranks(units: DataFrame, metrics: list[str], key: str = "path") -> DataFrame:
     """Add ``<metric>_rank`` for every metric column of ``units``.
 
-    Most files share a few values (zero above all), so the join back on the value is salted.
-    The rank table is one row per distinct value; where its measured size allows, adaptive
-    execution broadcasts it instead.
+    The rank table has one row per distinct value and is stored, so the planner knows its size:
+    up to the broadcast threshold it is sent to the units, beyond it the join shuffles. Most
+    files share a few values (zero above all), so that join is salted.
     """
     long = units.select(
         F.explode(
@@ -97,8 +98,7 @@ def percentile_ranks(units: DataFrame, metrics: list[str], key: str = "path") ->
             )
         ).alias("sample")
     ).select("sample.*")
-    ranks = rank_table(long)
-    salted = ranks.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = cut_lineage(rank_table(long)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     out = units.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
     for metric in metrics:
         side = salted.where(F.col("metric") == metric).select(

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions import paths as P
 from sextant.functions.numeric import percent_label
-from sextant.operators.tree import NO_DRIVER, areas_of, by_priority
+from sextant.operators.tree import NO_DRIVER, areas_of, by_priority, leading_units
 
 # List lengths.
 MAX_CANDIDATES = 40
@@ -49,20 +49,10 @@ def work_list(run_units: DataFrame, area: str | None = None, limit: int = WORK_L
 
 
 def top_of_areas(run_units: DataFrame, columns: list[str], limit: int) -> DataFrame:
-    """The leading units of every area, the root (``.``) included.
-
-    The row-number filter turns into a group limit ahead of the exchange, so an area that holds
-    most of the units sends at most ``limit`` rows per map task.
-    """
-    order = Window.partitionBy("area").orderBy(*by_priority())
+    """The leading scored units of every area, the root written as ``.``."""
     kept = list(dict.fromkeys(["path", "priority", *columns]))
-    return (
-        scored_units(run_units)
-        .select(*kept)
-        .withColumn("area", F.explode(P.ancestors(F.col("path"))))
-        .withColumn("position", F.row_number().over(order))
-        .where(F.col("position") <= limit)
-        .withColumn("area", F.when(F.col("area") == "", ".").otherwise(F.col("area")))
+    return leading_units(scored_units(run_units).select(*kept), limit).withColumn(
+        "area", F.when(F.col("area") == "", ".").otherwise(F.col("area"))
     )
 
 

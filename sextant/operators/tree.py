@@ -119,6 +119,27 @@ def node_table(units: DataFrame) -> DataFrame:
     )
 
 
+def leading_units(units: DataFrame, keep: int) -> DataFrame:
+    """The ``keep`` leading units of every area (``area, position``), the root included.
+
+    An area's leaders are among the leaders of its directories: units are cut per directory
+    first, and only what is left is expanded to the ancestors. Either cut runs as a group limit
+    ahead of its exchange, so an area with most of the units sends ``keep`` rows per map task.
+    """
+
+    def cut(rows: DataFrame, key: str) -> DataFrame:
+        order = Window.partitionBy(key).orderBy(*by_priority())
+        return rows.withColumn("position", F.row_number().over(order)).where(
+            F.col("position") <= keep
+        )
+
+    own = cut(units.withColumn("directory", P.parent_of(F.col("path"))), "directory")
+    spread = own.drop("directory", "position").withColumn(
+        "area", F.explode(P.ancestors(F.col("path")))
+    )
+    return cut(spread, "area")
+
+
 CHILD_SAMPLE = 10  # fixed value
 
 

@@ -11,7 +11,7 @@ from sextant.functions import digest, text
 from sextant.functions import paths as P
 from sextant.functions.numeric import half_up, result_limit, usd_text
 from sextant.judge import LexicalJudge
-from sextant.operators import cache, graph, history, score, search, tools, tree, usage
+from sextant.operators import cache, graph, history, modules, score, search, tools, tree, usage
 from sextant.plans import evidence
 from sextant.plans.oracles import with_ctes
 from sextant.session import configure, cut_lineage
@@ -46,8 +46,14 @@ def micro(column: Column) -> Column:
     return half_up(column, 1e6)
 
 
+def past(t: Tables) -> DataFrame:
+    return cut_lineage(t.history())
+
+
 def scan(t: Tables) -> DataFrame:
-    return evidence.scan_units(t.units(), t.edges(), t.history(), LexicalJudge(), churn=t.churn())
+    """Run units, stored as a run is: the tools read them more than once."""
+    history_ = past(t)
+    return cut_lineage(evidence.scan_units(t.units(), t.edges(), history_, LexicalJudge()))
 
 
 def slim_scan(t: Tables) -> DataFrame:
@@ -56,10 +62,12 @@ def slim_scan(t: Tables) -> DataFrame:
         "authors": F.lit(0), "recent_authors": F.lit(0), "primary_author_share": F.lit(0.0),
         "sum_coupling": F.lit(0), "couplings": F.array().cast(history.COUPLINGS_TYPE),
     }
-    churn = t.churn()
-    return evidence.scan_units(
-        t.units(), t.edges(), churn.withColumns(none), LexicalJudge(), churn=churn
-    )
+    churn = cut_lineage(t.churn()).withColumns(none)
+    return evidence.scan_units(t.units(), t.edges(), churn, LexicalJudge())
+
+
+def slim_nodes(t: Tables) -> DataFrame:
+    return cut_lineage(tree.node_table(cut_lineage(slim_scan(t))))
 
 
 # --- units and scopes ---------------------------------------------------------------------------
@@ -96,6 +104,39 @@ def limits(t: Tables) -> DataFrame:
     return scope_sizes(t).withColumn("result_limit", result_limit(F.col("units")))
 
 
+SCRIPT_TESTS = "\\.(test|spec)\\.[cm]?[jt]sx?$"
+
+
+@query(
+    "path_kinds",
+    f"""SELECT path, CASE regexp_extract(path, '\\.[^.]*$') WHEN '.ts' THEN 'typescript'
+           WHEN '.js' THEN 'typescript' WHEN '.py' THEN 'python' WHEN '.go' THEN 'go'
+           WHEN '.rs' THEN 'rust' END AS language,
+         CASE WHEN path LIKE '%.rs' THEN path LIKE '%/tests/%'
+           WHEN path LIKE '%.go' THEN path LIKE '%\\_test.go' ESCAPE '\\'
+           WHEN path LIKE '%.py' THEN path LIKE '%/test\\_%' ESCAPE '\\'
+           ELSE regexp_matches(path, '{SCRIPT_TESTS}') OR path LIKE '%/tests/%' END AS is_test,
+         NOT regexp_matches(path, '\\.min\\.js$') AS is_candidate
+       FROM source_paths""",
+)
+def path_kinds(t: Tables) -> DataFrame:
+    path = F.col("path")
+    return t.source_paths().select(
+        path, P.language(path).alias("language"), P.is_test_path(path).alias("is_test"),
+        P.is_candidate(path).alias("is_candidate"),
+    )
+
+
+@query("source_facts")
+def source_facts(t: Tables) -> DataFrame:
+    """Facts and complexity of every document read as source text of its language."""
+    units = t.source_paths().withColumn("language", P.language(F.col("path")))
+    return modules.with_facts(units).select(
+        "path", "language", F.size("specifiers").alias("imports"), "type_imports",
+        F.size("exports").alias("exports"), "type_exports", "complexity_facts.*",
+    )
+
+
 # --- history ------------------------------------------------------------------------------------
 
 
@@ -130,7 +171,7 @@ def cochange_guarded(t: Tables) -> DataFrame:
 
 
 def linked(t: Tables) -> DataFrame:
-    touched = t.file_touches()
+    touched = cut_lineage(t.file_touches())
     counts = touched.groupBy("path").agg(F.count(F.lit(1)).alias("commits"))
     return history.couplings(history.co_change_pairs(touched), counts, min_co_changes=2)
 
@@ -198,14 +239,14 @@ def dependents(t: Tables) -> DataFrame:
 )
 def percentile_ranks(t: Tables) -> DataFrame:
     return score.percentile_ranks(
-        evidence.metrics(t.units(), t.churn()),
+        evidence.metrics(t.units(), cut_lineage(t.churn())),
         ["recent_commits", "bug_fix_commits", "max_cyclomatic"],
     )
 
 
 @query("computed_signals", "SELECT path, churn, defect, complexity FROM signals")
 def computed_signals(t: Tables) -> DataFrame:
-    ranked = score.computed_signals(evidence.metrics(t.units(), t.churn()))
+    ranked = score.computed_signals(evidence.metrics(t.units(), cut_lineage(t.churn())))
     return ranked.select("path", "churn", "defect", "complexity")
 
 
@@ -279,7 +320,7 @@ def area_rollup(t: Tables) -> DataFrame:
     "SELECT path, name, kind, units, priority, drivers, hot, error, hint, depth, parent FROM nodes",
 )
 def node_table(t: Tables) -> DataFrame:
-    return tree.node_table(slim_scan(t)).select(
+    return tree.node_table(cut_lineage(slim_scan(t))).select(
         "path", "name", "kind", "units", "priority", joined("drivers"), "hot", "error", "hint",
         "depth", "parent",
     )
@@ -292,7 +333,7 @@ def node_table(t: Tables) -> DataFrame:
     "WHERE parent IS NOT NULL GROUP BY parent",
 )
 def area_children(t: Tables) -> DataFrame:
-    nodes = tree.node_table(slim_scan(t)).where(F.col("parent").isNotNull())
+    nodes = tree.node_table(cut_lineage(slim_scan(t))).where(F.col("parent").isNotNull())
     return nodes.groupBy(F.col("parent").alias("area")).agg(
         F.count(F.lit(1)).alias("children"),
         F.count_if(F.col("kind") == "area").alias("sub_areas"),
@@ -397,7 +438,7 @@ def catalog_units(t: Tables) -> DataFrame:
     "AS description FROM areas WHERE path <> '' ORDER BY priority DESC, path LIMIT 40",
 )
 def catalog_areas(t: Tables) -> DataFrame:
-    return tools.catalog_areas(tree.node_table(slim_scan(t)))
+    return tools.catalog_areas(slim_nodes(t))
 
 
 @query(
@@ -456,7 +497,7 @@ def change_impact(t: Tables) -> DataFrame:
 
 @query("lane_conflicts", "SELECT area, first_at, second_at, first, second FROM conflicts")
 def lane_conflicts(t: Tables) -> DataFrame:
-    return tools.lane_conflicts(tools.work_members(scan(t)), t.edges())
+    return tools.lane_conflicts(cut_lineage(tools.work_members(scan(t))), t.edges())
 
 
 @query(
@@ -478,7 +519,7 @@ def lane_conflicts(t: Tables) -> DataFrame:
        SELECT area, lane, position, path, priority FROM placed WHERE position > 0""",
 )
 def safe_lanes(t: Tables) -> DataFrame:
-    return tools.safe_lanes(tools.work_members(scan(t)), t.edges())
+    return tools.safe_lanes(cut_lineage(tools.work_members(scan(t))), t.edges())
 
 
 # --- texts, hashes, fingerprints ------------------------------------------------------------------
@@ -514,9 +555,10 @@ def graph_fingerprints(t: Tables) -> DataFrame:
 
 
 def keyed(t: Tables) -> DataFrame:
-    packed = t.history().select("path", F.struct(*evidence.HISTORY_FIELDS).alias("history"))
+    packed = past(t).select("path", F.struct(*evidence.HISTORY_FIELDS).alias("history"))
     units = evidence.targets(t.units()).join(packed, "path", "left")
-    return cache.with_answer_keys(units, graph.graph_fingerprints(t.units(), t.edges()), MODEL)
+    prints = graph.graph_fingerprints(t.units(), t.edges())
+    return cut_lineage(cache.with_answer_keys(units, prints, MODEL))
 
 
 @query("answer_keys", "SELECT path, state, key FROM keys")
@@ -548,6 +590,22 @@ def identifier_tokens(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "intent_terms",
+    f"""SELECT conv_id, turn, array_to_string(list_filter({TOKENS.format('text')},
+          lambda x: NOT list_contains({STOP_LIST}, x)), ' ') AS words
+        FROM conversations WHERE role = 'user'""",
+)
+def intent_terms(t: Tables) -> DataFrame:
+    """What each user turn would be searched for, repeats kept."""
+    stop = F.array(*[F.lit(word) for word in text.STOPWORDS])
+    words = F.filter(
+        text.identifier_tokens(F.col("text")), lambda word: ~F.array_contains(stop, word)
+    )
+    turns = t.read("conversations").where(F.col("role") == "user")
+    return turns.select("conv_id", "turn", F.array_join(words, " ").alias("words"))
+
+
 INTENT_LIST = "['tighten', 'small', 'ring', 'hot', 'gears']"
 
 
@@ -671,7 +729,7 @@ def nav_prune(t: Tables) -> DataFrame:
 
 @query("area_coverage", "SELECT area, path, priority FROM leaders")
 def area_coverage(t: Tables) -> DataFrame:
-    return search.area_leaders(tree.node_table(slim_scan(t))).select("area", "path", "priority")
+    return search.area_leaders(slim_nodes(t)).select("area", "path", "priority")
 
 
 @query(
@@ -686,17 +744,16 @@ def area_coverage(t: Tables) -> DataFrame:
        WHERE slot <= 40""",
 )
 def lookahead_descendants(t: Tables) -> DataFrame:
-    near = search.neighbourhood(tree.node_table(slim_scan(t)))
+    near = search.neighbourhood(slim_nodes(t))
     return near.select("area", "path", "kind", "relation", "slot")
 
 
-def search_map(t: Tables, run: DataFrame) -> search.SearchMap:
-    nodes = tree.node_table(run)
-    return search.SearchMap(
-        nodes,
-        search.relation_table(nodes, t.edges(), tools.coupling_rows(run)),
-        search.area_leaders(nodes),
-    )
+def search_map(t: Tables) -> search.SearchMap:
+    """The search's tables, stored as a run stores them."""
+    run = scan(t)
+    nodes = cut_lineage(tree.node_table(run))
+    relations = search.relation_table(nodes, t.edges(), tools.coupling_rows(run))
+    return search.SearchMap(nodes, relations, search.area_leaders(nodes))
 
 
 RELATED = """
@@ -711,7 +768,7 @@ RELATED = """
     "WHERE path IN (SELECT path FROM run) AND target IN (SELECT path FROM run)",
 )
 def relation_table(t: Tables) -> DataFrame:
-    return search_map(t, scan(t)).relations.select("path", "strategy", "target", "place")
+    return search_map(t).relations.select("path", "strategy", "target", "place")
 
 
 @query(
@@ -723,7 +780,7 @@ def relation_table(t: Tables) -> DataFrame:
           WHERE r.target IN (SELECT path FROM run)) WHERE slot <= 6""",
 )
 def anchor_relations(t: Tables) -> DataFrame:
-    found = search_map(t, scan(t))
+    found = search_map(t)
     return search.anchor_relations(found.nodes, found.relations).select(
         "area", "strategy", "path", "slot"
     )
@@ -733,15 +790,11 @@ CANDIDATE = "path string, strategy string, relation string, weight double"
 
 
 def ready_map(t: Tables) -> search.SearchMap:
-    """The search looks rows up step by step, so its tables are cut from their plans first."""
-    return search_map_of(cut_lineage(scan(t)), t)
-
-
-def search_map_of(run: DataFrame, t: Tables) -> search.SearchMap:
-    found = search_map(t, run)
-    nodes = cut_lineage(found.nodes)
-    relations = search.relation_table(nodes, t.edges(), tools.coupling_rows(run))
-    return search.SearchMap(nodes, cut_lineage(relations), cut_lineage(search.area_leaders(nodes)))
+    """A search looks rows up step by step: all of its tables are stored first."""
+    found = search_map(t)
+    return search.SearchMap(
+        found.nodes, cut_lineage(found.relations), cut_lineage(found.leaders)
+    )
 
 
 @query("expand_root")

@@ -256,6 +256,17 @@ CTES: dict[str, str] = {
     "texts": """
         SELECT source || '/' || lang || '/doc_' || doc_id AS path, text AS content, lang
         FROM documents""",
+    "source_paths": """
+        SELECT CASE lang
+            WHEN 'en' THEN source || '/en/doc_' || doc_id || CASE WHEN n_chars < 500 THEN '.test.ts'
+              WHEN n_chars > 5000 THEN '.min.js' ELSE '.ts' END
+            WHEN 'de' THEN source || '/de/' || CASE WHEN n_chars < 500 THEN 'test_' ELSE '' END
+              || 'doc_' || doc_id || '.py'
+            WHEN 'fr' THEN source || '/fr/doc_' || doc_id
+              || CASE WHEN n_chars < 500 THEN '_test' ELSE '' END || '.go'
+            ELSE source || CASE WHEN n_chars < 500 THEN '/tests/' ELSE '/es/' END || 'doc_'
+              || doc_id || '.rs' END AS path
+        FROM documents""",
     "lanes_in": """
         SELECT sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)::HUGEINT) AS l0,
                sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)::HUGEINT) AS l1,

@@ -85,7 +85,7 @@ class Store:
         """Write a table of a run and go on from what was written."""
         path = os.path.join(self.run_folder(run_id), name)
         df.write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
 
     def finish_run(self, record: dict) -> None:
         write_json(os.path.join(self.run_folder(record["id"]), "run.json"), record)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,13 +36,26 @@ def build_session(app: str = "sextant", master: str | None = None, **conf: str)
     return configure(builder.getOrCreate())
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only where none is named (tests, a laptop) a temporary one is made, once per session.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not named:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="sextant-checkpoint-"))
+        named = context.getCheckpointDir()
+    return named.rstrip("/")
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in ``spark.checkpoint.dir``.
+    """Write an intermediate that several consumers share, and go on from what was written.
 
-    Only where no folder is named (tests, a laptop) a temporary one is used.
+    The table lies in shared storage, so a lost executor costs its running tasks and nothing
+    upstream. Being Parquet, its consumers read only their columns, and its measured size is
+    what join planning goes by.
     """
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sextant-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(df.sparkSession)}/sextant/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -7,14 +7,20 @@ ledger. Every binding is a projection or join of whole tables.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from sextant.operators.graph import distinct_edges
 from sextant.operators.history import MAX_CHANGESET, file_history, with_moment
 from sextant.operators.history import churn as churn_of
+from sextant.session import cut_lineage
 
 MODEL = "jev-latest"
+SPREAD_BYTES = 1 << 20
+_SCHEMAS: dict[str, StructType] = {}  # file schemas, so that a table is inspected once
 
 
 class Tables:
@@ -24,7 +30,15 @@ class Tables:
         self.spark, self.directory = spark, directory.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
+        """A table. One that is a single plain file has one split, so its rows are dealt out
+        to all cores before per-row work; tables of many files are read as they lie."""
+        path = f"{self.directory}/{name}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        table = self.spark.read.schema(_SCHEMAS[path]).parquet(path)
+        if os.path.isfile(path) and os.path.getsize(path) >= SPREAD_BYTES:
+            return table.repartition(self.spark.sparkContext.defaultParallelism)
+        return table
 
     def unit_path(self) -> Column:
         return F.concat_ws(
@@ -89,7 +103,11 @@ class Tables:
         return with_moment(raw, self.as_of())
 
     def touches(self) -> DataFrame:
-        """Commit and file, once each, with the commit's flags."""
+        """Commit and file, once each, with the commit's flags.
+
+        The exchanges are left to the joins: only those can be split at run time when one
+        commit or one file holds most of the rows.
+        """
         lines = (
             self.read("lineitem")
             .select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("unit_id"))
@@ -131,7 +149,7 @@ class Tables:
         return churn_of(self.touches())
 
     def history(self, max_changeset: int = MAX_CHANGESET, min_co_changes: int = 2) -> DataFrame:
-        return file_history(self.touches(), max_changeset, min_co_changes)
+        return file_history(cut_lineage(self.touches()), max_changeset, min_co_changes)
 
     def texts(self) -> DataFrame:
         """Source texts: one per document."""
@@ -143,6 +161,25 @@ class Tables:
             "lang",
         )
 
+    def source_paths(self) -> DataFrame:
+        """Documents as source files: the language gives the extension, short ones are tests."""
+        name = F.concat(F.lit("doc_"), F.col("doc_id").cast("string"))
+        short, long = F.col("n_chars") < 500, F.col("n_chars") > 5000
+
+        def if_short(text: str) -> Column:
+            return F.when(short, F.lit(text)).otherwise(F.lit(""))
+
+        script = F.when(short, ".test.ts").when(long, ".min.js").otherwise(".ts")
+        below = (
+            F.when(F.col("lang") == "en", F.concat(F.lit("en/"), name, script))
+            .when(F.col("lang") == "de", F.concat(F.lit("de/"), if_short("test_"), name, F.lit(".py")))
+            .when(F.col("lang") == "fr", F.concat(F.lit("fr/"), name, if_short("_test"), F.lit(".go")))
+            .otherwise(F.concat(F.when(short, "tests/").otherwise("es/"), name, F.lit(".rs")))
+        )
+        return self.read("documents").select(
+            F.concat_ws("/", F.col("source"), below).alias("path"), F.col("text").alias("content")
+        )
+
     def ledger(self) -> DataFrame:
         """Usage runs: one per user and day."""
         return (

@@ -166,3 +166,16 @@ def test_unknown_files_are_dropped_before_sizing(spark):
     units = spark.createDataFrame([("a",), ("b",)], "path string")
     kept = H.keep_known(touches_of(spark, [commit]), units)
     assert [(r["a"], r["b"]) for r in H.co_change_pairs(kept).collect()] == [("a", "b")]
+
+
+def test_hub_file_and_busy_author(spark):
+    """A file in every commit and an author of most of them: same counters as counted by hand."""
+    commits = [
+        ("Ada" if n % 3 else f"dev{n}", "2026-05-01T00:00:00Z", "fix", ["hub", f"f{n % 50}"])
+        for n in range(600)
+    ]
+    got = by_path(H.file_history(touches_of(spark, commits)))
+    assert (got["hub"]["commits"], got["hub"]["authors"]) == (600, 201)
+    assert got["hub"]["primary_author_share"] == 400 / 600
+    assert got["hub"]["sum_coupling"] == 50 and len(got["hub"]["couplings"]) == 5
+    assert got["f7"]["couplings"] == [{"path": "hub", "co_changes": 12, "strength": 1.0}]
