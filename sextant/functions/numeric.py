@@ -7,14 +7,11 @@ from decimal import ROUND_HALF_UP, Decimal
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Prices per million tokens.
+# Default prices per million tokens.
 INPUT_PER_MILLION = 0.042
 OUTPUT_PER_MILLION = 0.0
-MODEL_PRICES = {
-    "jev-1.13.0": (INPUT_PER_MILLION, OUTPUT_PER_MILLION),
-    "jev-latest": (INPUT_PER_MILLION, OUTPUT_PER_MILLION),
-    "jev-preview": (INPUT_PER_MILLION, OUTPUT_PER_MILLION),
-}
+# Models with other prices: name to (input, output).
+MODEL_PRICES: dict[str, tuple[float, float]] = {}
 
 # Result list size as a share of the units in scope.
 RESULT_RATIO = 0.05
@@ -41,9 +38,8 @@ def percent_label(share: Column) -> Column:
 def estimate_cost(input_tokens: Column, output_tokens: Column, model: Column) -> Column:
     price_in, price_out = F.lit(INPUT_PER_MILLION), F.lit(OUTPUT_PER_MILLION)
     for name, (per_in, per_out) in MODEL_PRICES.items():
-        if (per_in, per_out) != (INPUT_PER_MILLION, OUTPUT_PER_MILLION):
-            price_in = F.when(model == name, F.lit(per_in)).otherwise(price_in)
-            price_out = F.when(model == name, F.lit(per_out)).otherwise(price_out)
+        price_in = F.when(model == name, F.lit(per_in)).otherwise(price_in)
+        price_out = F.when(model == name, F.lit(per_out)).otherwise(price_out)
     return (input_tokens / 1e6) * price_in + (output_tokens / 1e6) * price_out
 
 

@@ -285,7 +285,7 @@ CTES: dict[str, str] = {
           FROM (SELECT dst, sha256(src) AS h FROM edges) GROUP BY dst) USING (path)""",
     "keys": """
         SELECT path, hash, max_cyclomatic, error, state,
-               substr(sha256('3|' || hash || '|jev-latest|' || state), 1, 32) AS key
+               substr(sha256('3|' || hash || '|judge-1|' || state), 1, 32) AS key
         FROM (SELECT t.path, t.hash, t.max_cyclomatic, t.error, substr(sha256(array_to_string([
                 graph_fingerprint, coalesce(commits::VARCHAR, chr(0)),
                 coalesce(recent_commits::VARCHAR, chr(0)), coalesce(authors::VARCHAR, chr(0)),
@@ -300,7 +300,7 @@ CTES: dict[str, str] = {
     "ledger": """
         SELECT 'run_' || user_id || '_' || strftime(CAST(ts AS DATE), '%Y%m%d') AS id,
                strftime(CAST(ts AS DATE), '%Y-%m-%dT00:00:00Z') AS started_at,
-               'jev-latest' AS model, count(*) AS calls,
+               'judge-1' AS model, count(*) AS calls,
                count_if(event_type = 'view') AS cached, count_if(event_type = 'error') AS failed,
                CAST(sum(CAST(floor(value * 100) AS BIGINT)) AS BIGINT) AS input_tokens,
                CAST(sum(CAST(floor(value * 10) AS BIGINT)) AS BIGINT) AS output_tokens

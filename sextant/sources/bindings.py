@@ -18,7 +18,7 @@ from sextant.operators.history import MAX_CHANGESET, file_history, with_moment
 from sextant.operators.history import churn as churn_of
 from sextant.session import cut_lineage
 
-MODEL = "jev-latest"
+MODEL = "judge-1"
 SPREAD_BYTES = 1 << 20
 _SCHEMAS: dict[str, StructType] = {}  # file schemas, so that a table is inspected once
 

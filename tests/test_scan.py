@@ -311,7 +311,7 @@ def test_reports():
         "stats": {"fan_in": 4, "fan_out": 0, "churn": 1, "defect": 0, "complexity": 3},
     }
     view = {"opportunities": [row], "usage": {"input_tokens": 9227, "output_tokens": 1289},
-            "model": "jev-1.13.0", "intent": "q", "steps": 10}
+            "model": "judge-1", "intent": "q", "steps": 10}
     text = report.format_intent(view)
     assert "10 steps · 9,227 in / 1,289 out · ~$0.00039" in text
     assert "criticality, churn (uncertain)" in text
