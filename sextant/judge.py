@@ -183,6 +183,37 @@ class CallableJudge:
         return self._score(intent, paths) if self._score else Relevance()
 
 
+def metered_judge(parallelism: int = 8) -> CallableJudge:
+    """Offline judge that reports the size of what it reads as tokens (four characters each)."""
+    import json
+
+    words = LexicalJudge()
+
+    def review(payload: dict) -> dict:
+        unit = payload["unit"]
+        reach = unit["fan_in"] / (unit["fan_in"] + 5.0) * 3.0
+        branches = (unit["complexity"] or {}).get("max_cyclomatic") or 0
+        return {
+            "criticality": (reach, 0.6), "blast_radius": (reach, 0.6),
+            "cohesion": (15.0 / (branches + 5.0), 0.6), "change_risk": (1.5, 0.4),
+            "input_tokens": len(json.dumps(payload)) // 4, "output_tokens": 40,
+        }
+
+    def rank(intent: str, node: dict, candidates: list[dict]) -> Choice:
+        choice = words.rank(intent, node, candidates)
+        choice.input_tokens = sum(len(c["description"]) for c in candidates) // 4
+        choice.output_tokens = 8 * len(candidates)
+        return choice
+
+    def score(intent: str, paths: list[str]) -> Relevance:
+        scored = words.score(intent, paths)
+        scored.input_tokens = sum(len(path) + len(intent) for path in paths) // 4
+        scored.output_tokens = 8 * len(paths)
+        return scored
+
+    return CallableJudge("offline-metered", review, rank, score, parallelism)
+
+
 DEPENDENT_SAMPLE = 20  # fixed value
 
 

@@ -110,7 +110,7 @@ class Store:
     def ledger(self) -> DataFrame | None:
         """Usage of all runs, read as one table of their summaries."""
         pattern = os.path.join(self.folder, "runs", "*", "run.json")
-        if not list(Path(self.folder).glob("runs/*/run.json")):
+        if next(Path(self.folder).glob("runs/*/run.json"), None) is None:
             return None
         schema = (
             "id string, started_at string, model string, counts struct<total:bigint>, "
