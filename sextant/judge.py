@@ -7,6 +7,7 @@ are deterministic; a remote model plugs in as a :class:`CallableJudge`.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -15,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sextant.functions.words import matched, query_words, symbol_words
 from sextant.operators.score import DIMENSIONS
 
 STOP = "__stop__"  # fixed value
@@ -96,8 +98,6 @@ class LexicalJudge:
         )
 
     def rank(self, intent: str, node: dict, candidates: list[dict]) -> Choice:
-        from sextant.functions.words import matched, query_words, symbol_words
-
         terms = query_words(intent)
         raw = {
             c["path"]: 0.05 + matched(terms, symbol_words(c["path"], c.get("exports") or []))
@@ -110,8 +110,6 @@ class LexicalJudge:
         return Choice(shares, best, 0.9 if hits >= 1.0 else 0.3)
 
     def score(self, intent: str, paths: list[str]) -> Relevance:
-        from sextant.functions.words import matched, query_words, symbol_words
-
         terms = query_words(intent)
         out = {}
         for path in paths:
@@ -148,8 +146,6 @@ class CallableJudge:
                  "input_tokens bigint, output_tokens bigint"
 
         def call(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            import json
-
             for batch in batches:
                 rows = []
                 for path, payload in zip(batch["path"], batch["payload"]):
@@ -185,8 +181,6 @@ class CallableJudge:
 
 def metered_judge(parallelism: int = 8) -> CallableJudge:
     """Offline judge that reports the size of what it reads as tokens (four characters each)."""
-    import json
-
     words = LexicalJudge()
 
     def review(payload: dict) -> dict:

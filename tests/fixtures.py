@@ -1,7 +1,5 @@
 """Small runs for tree, search and tool tests."""
 
-from pyspark.sql import functions as F
-
 from sextant.operators import search, tools, tree
 
 RUN = (

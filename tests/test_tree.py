@@ -1,7 +1,5 @@
 import random
 
-from pyspark.sql import functions as F
-
 from fixtures import run_of, unit
 from sextant.operators import tree
 
