@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
-from sextant.llm import exact
+from sextant.llm import chat, exact, mixing, quality, secrets
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
+    "op2_mix_sources": mixing.op2_mix_sources,
+    "op3_secret_scan": secrets.op3_secret_scan,
+    "op4_chat_format": chat.op4_chat_format,
+    "op5_quality_rules": quality.op5_quality_rules,
 }
 
 ORACLES = {
     "op1_exact_dedup": exact.OP1_SQL,
+    "op2_mix_sources": mixing.OP2_SQL,
+    "op3_secret_scan": secrets.OP3_SQL,
+    "op4_chat_format": chat.OP4_SQL,
+    "op5_quality_rules": quality.OP5_SQL,
 }
