@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sextant.llm import chat, exact, mixing, quality, secrets
+from sextant.llm import chat, exact, mixing, neardup, quality, secrets
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_chat_format": chat.op4_chat_format,
     "op5_quality_rules": quality.op5_quality_rules,
+    "op6_minhash_neardup": neardup.op6_minhash_neardup,
 }
 
 ORACLES = {
@@ -18,4 +19,5 @@ ORACLES = {
     "op3_secret_scan": secrets.OP3_SQL,
     "op4_chat_format": chat.OP4_SQL,
     "op5_quality_rules": quality.OP5_SQL,
+    "op6_minhash_neardup": neardup.OP6_SQL,
 }
