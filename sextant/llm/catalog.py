@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sextant.llm import chat, exact, mixing, neardup, quality, secrets
+from sextant.llm import chat, exact, mixing, neardup, pieces, quality, secrets
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_chat_format": chat.op4_chat_format,
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_minhash_neardup": neardup.op6_minhash_neardup,
+    "op7_sentencepiece": pieces.op7_sentencepiece,
 }
 
 ORACLES = {
