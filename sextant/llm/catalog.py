@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sextant.llm import chat, exact, mixing, neardup, pieces, quality, secrets
+from sextant.llm import chat, exact, mixing, neardup, pieces, quality, secrets, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_quality_rules": quality.op5_quality_rules,
     "op6_minhash_neardup": neardup.op6_minhash_neardup,
     "op7_sentencepiece": pieces.op7_sentencepiece,
+    "op8_toxicity": toxicity.op8_toxicity,
 }
 
 ORACLES = {
