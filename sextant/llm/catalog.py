@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sextant.llm import chat, exact, mixing, neardup, pieces, quality, secrets, toxicity
+from sextant.llm import chat, exact, licenses, mixing, neardup, pieces, quality, secrets, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_minhash_neardup": neardup.op6_minhash_neardup,
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_toxicity": toxicity.op8_toxicity,
+    "op9_license_scan": licenses.op9_license_scan,
 }
 
 ORACLES = {
@@ -22,4 +23,5 @@ ORACLES = {
     "op4_chat_format": chat.OP4_SQL,
     "op5_quality_rules": quality.OP5_SQL,
     "op6_minhash_neardup": neardup.OP6_SQL,
+    "op9_license_scan": licenses.OP9_SQL,
 }
