@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sextant.llm import chat, exact, licenses, mixing, neardup, pieces, quality, secrets, toxicity
+from sextant.llm import chat, exact, licenses, mixing, neardup, pieces, quality, repeats, secrets, toxicity
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_sentencepiece": pieces.op7_sentencepiece,
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_license_scan": licenses.op9_license_scan,
+    "op10_repeated_passages": repeats.op10_repeated_passages,
 }
 
 ORACLES = {
