@@ -7,7 +7,9 @@ a candidate pair (corrected for registers that agree by accident), and pairs the
 rule out are confirmed on the full sets.
 
 Bands of 5 registers, 51 of them: a pair with similarity 0.8 shares a band with probability
-1 - (1 - 0.8^5)^51, so one pair in a billion is missed.
+1 - (1 - 0.8^5)^51, so one pair in a billion is missed. For the bands, an empty register borrows
+from the first filled one in an order of its own, so that two texts agree in a register with the
+probability of their similarity whatever their length, and bands of short texts stay selective.
 
 Only components are asked for, so a bucket of n texts never becomes n^2 pairs:
 
@@ -50,6 +52,10 @@ MEMO_WORDS = 400_000
 WORDS = 5
 PERCENT = 80
 
+#: For each register, the order in which it looks for one to borrow from.
+_BORROW = np.random.default_rng(11).permuted(
+    np.tile(np.arange(REGISTERS, dtype=np.uint8), (REGISTERS, 1)), axis=1
+)
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -193,19 +199,32 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long")
 
 
+def band_keys(regs: np.ndarray) -> np.ndarray:
+    """Keys of the bands of a sketch that has at least one filled register."""
+    filled = regs != 0
+    source = np.arange(REGISTERS)
+    empty = np.flatnonzero(~filled)
+    if len(empty):
+        chosen = np.flatnonzero(filled)
+        source[empty] = chosen[_BORROW[empty[:, None], chosen[None, :]].argmin(axis=1)]
+    values = (source.astype(np.uint64) << np.uint64(16)) | regs[source].astype(np.uint64)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for column in values[: BANDS * BAND].reshape(BANDS, BAND).T:
+        keys = _mixed(keys + column)
+    return keys
+
+
 def bands(sketch: DataFrame) -> DataFrame:
-    """key, node: one row per band that holds a hash."""
-    width = 2 * BAND
-    empty = F.lit(bytearray(width))
-    cut = F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)),
-        lambda i: F.struct(i.alias("i"), F.substring("registers", i * width + 1, F.lit(width)).alias("sig")),
-    )
-    return (
-        sketch.select("node", F.explode(cut).alias("band"))
-        .where(F.col("band.sig") != empty)
-        .select(F.xxhash64("band.i", "band.sig").alias("key"), "node")
-    )
+    """key, node: one row per band of each sketch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [band_keys(x) for x in _column_arrays(batch.column("registers"), np.uint16)]
+            nodes = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), BANDS)
+            keys = np.concatenate(found).view(np.int64) if found else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(nodes)], ["key", "node"])
+
+    return sketch.select("node", "registers").mapInArrow(run, "key long, node long")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -258,12 +277,8 @@ def near_components(
         )
     )
     nodes = classes.select("node")
-    sketch = stored(
-        full.withColumnRenamed("row", "node")
-        .join(nodes, "node", "left_semi")
-        .select("node", "text_key", "n_shingles", "registers")
-    )
-    cut = bands(sketch)
+    sketch = full.withColumnRenamed("row", "node")
+    cut = stored(bands(sketch.join(nodes, "node", "left_semi")))
     shared = cut.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n"))
     member = stored(cut.join(shared.where("n > 1").drop("n"), "key"))
     wanted = member.select("node").distinct()
