@@ -22,6 +22,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -43,6 +44,8 @@ SCALE = 1 << 16
 NONE = -(1 << 62)
 #: Runs whose pieces a worker remembers at most, and the longest run it remembers.
 MEMO_RUNS, MEMO_LENGTH = 300_000, 64
+#: So many new runs and more are segmented together; characters of texts that are encoded at a time.
+TOGETHER, CHARACTERS = 2_000, 1 << 22
 
 
 def load_vocabulary(path: str = MODEL) -> list[tuple[str, float, str]]:
@@ -72,27 +75,82 @@ def load_vocabulary(path: str = MODEL) -> list[tuple[str, float, str]]:
     ]
 
 
+class _Table:
+    """Pieces by the hash of their characters, for looking up many substrings at a time."""
+
+    BITS = 20
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+
+    def __init__(self, pieces: list[tuple[str, int, int]], width: int) -> None:
+        self.powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(width, self.BASE)])
+        self.keys = np.zeros(len(pieces) + 1, np.uint64)
+        self.scores = np.full(len(pieces) + 1, NONE, np.int64)
+        self.ids = np.full(len(pieces) + 1, -1, np.int32)
+        for i, (piece, score, number) in enumerate(pieces, 1):
+            codes = np.frombuffer(piece.encode("utf-32-le"), np.uint32)[:, None]
+            self.keys[i] = self.prefixes(codes)[-1, 0]
+            self.scores[i], self.ids[i] = score, number
+        entries = np.arange(1, len(pieces) + 1)
+        self.first = np.zeros(1 << self.BITS, np.int32)
+        self.first[self.slot(self.keys[1:], 1)] = entries
+        rest = entries[self.first[self.slot(self.keys[1:], 1)] != entries]
+        # Pieces whose place is taken have a place in a second table.
+        for self.other in range(3, 2001, 2):
+            places = self.slot(self.keys[rest], self.other)
+            if len(np.unique(places)) == len(rest):
+                break
+        self.second = np.zeros(1 << self.BITS, np.int32)
+        self.second[places] = rest
+
+    def slot(self, keys: np.ndarray, way: int) -> np.ndarray:
+        mixed = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93 * way % (1 << 64))
+        return (mixed >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def prefixes(self, codes: np.ndarray) -> np.ndarray:
+        """Hashes of the prefixes of texts that are the columns of ``codes``."""
+        x = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(29)
+        out = np.zeros((len(codes) + 1, codes.shape[1]), np.uint64)
+        for i in range(len(codes)):
+            out[i + 1] = out[i] * self.BASE + x[i]
+        return out
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entries of the keys, 0 where there is none."""
+        found = self.first[self.slot(keys, 1)]
+        wrong = np.flatnonzero(self.keys[found] != keys)
+        other = self.second[self.slot(keys[wrong], self.other)]
+        found[wrong] = np.where(self.keys[other] == keys[wrong], other, 0)
+        return found
+
+
 class _Memo(dict):
-    """Ids of runs, remembered; a run is cut further where every path passes."""
+    """Score and ids of runs, remembered."""
 
     def __init__(self, lattice: Lattice) -> None:
         super().__init__()
         self.lattice = lattice
 
-    def __missing__(self, run: str) -> tuple[int, ...]:
-        pairs = self.lattice.pairs
-        cuts = [i for i in range(1, len(run)) if run[i - 1 : i + 1] not in pairs]
-        if cuts:
-            parts = zip([0, *cuts], [*cuts, len(run)], strict=True)
-            found = tuple(chain.from_iterable([self[run[a:b]] for a, b in parts]))
-        else:
-            found = tuple(self.lattice.whole(run)[1])
+    def __missing__(self, run: str) -> tuple[int, tuple[int, ...]]:
+        score, ids = self.lattice.whole(run)
+        found = score, tuple(ids)
         if len(run) <= MEMO_LENGTH:
-            if len(self) >= MEMO_RUNS:
-                self.clear()
             self[run] = found
         return found
 
+    def learn(self, runs: list[list[str]]) -> None:
+        """Finds the best paths of all new runs at once, where there are many."""
+        if len(self) >= MEMO_RUNS:
+            self.clear()
+        by_length: dict[int, list[str]] = {}
+        new = set(chain.from_iterable(runs)).difference(self)
+        for run in new if len(new) >= TOGETHER else ():
+            if len(run) <= MEMO_LENGTH:
+                by_length.setdefault(-(-len(run) // 4), []).append(run)
+        for same in by_length.values():
+            for start in range(0, len(same), 20_000):
+                self.lattice.many(same[start : start + 20_000], self)
+
 
 class Lattice:
     """Best paths over one vocabulary. ``prefixes`` maps each prefix of a piece to the piece's
@@ -122,6 +180,8 @@ class Lattice:
         alone = "\n" if not any("\n" in pair for pair in self.pairs) else ""
         self.runs = None if inner else re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|\n")
         self.memo = _Memo(self)
+        found = [(p, *x) for p, x in self.prefixes.items() if x is not None]
+        self.table = _Table(found, self.width)
 
     def bytes_of(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in (SPACE if char == LITERAL else char).encode()]
@@ -170,11 +230,70 @@ class Lattice:
         best, back = self.forward(text, [0], len(text))
         return best[-1], self.backward(text, back, len(text))[1]
 
-    def encode(self, text: str) -> list[int]:
-        ready = prepared(text, True)
+    def many(self, texts: list[str], memo: dict) -> None:
+        """Puts the best paths of texts of similar length into ``memo``: the same steps as in
+        ``forward``, on all texts at a time. Shorter ones are filled up; what follows a text's end
+        has no part in its path."""
+        lengths = np.array([len(text) for text in texts])
+        n, count, table = int(lengths.max()), len(texts), self.table
+        filled = "".join([text.ljust(n, "\0") for text in texts])
+        codes = np.frombuffer(filled.encode("utf-32-le", "surrogatepass"), np.uint32)
+        hashes = table.prefixes(codes.reshape(count, n).T)
+        best = np.full((n + 1, count), NONE, np.int64)
+        best[0] = 0
+        back = np.zeros((n + 1, count), np.int64)
+        entry = np.zeros((n + 1, count), np.int32)
+        for s in range(n):
+            for size in range(1, min(self.width, n - s) + 1):
+                found = table.find(hashes[s + size] - hashes[s] * table.powers[size])
+                scores = table.scores[found]
+                if size == 1:
+                    scores[found == 0] = self.unknown
+                    some = np.arange(count)
+                else:
+                    some = np.flatnonzero(found)
+                value = best[s, some] + scores[some]
+                better = value > best[s + size, some]
+                some, value = some[better], value[better]
+                best[s + size, some], back[s + size, some] = value, s
+                entry[s + size, some] = found[some]
+        at, column = lengths, np.arange(count)
+        steps = []
+        odd = np.zeros(count, bool)
+        while (at > 0).any():
+            used = entry[at, column]
+            odd |= (used == 0) & (at > 0)
+            steps.append(np.where(at > 0, table.ids[used], -1))
+            at = back[at, column]
+        ids = np.stack(steps[::-1]).T
+        ends = np.cumsum((ids >= 0).sum(axis=1)).tolist()
+        flat, start = ids[ids >= 0].tolist(), 0
+        for text, end, score in zip(texts, ends, best[lengths, column].tolist(), strict=True):
+            memo[text] = score, tuple(flat[start:end])
+            start = end
+        for i in np.flatnonzero(odd).tolist():  # holds characters that no piece covers
+            score, found = self.whole(texts[i])
+            memo[texts[i]] = score, tuple(found)
+
+    def encode_all(self, texts: list[str]) -> list[list[int]]:
+        """Ids of many texts."""
+        ready = [prepared(text, True) for text in texts]
         if self.runs is None:
-            return self.whole(ready)[1]
-        return list(chain.from_iterable(map(self.memo.__getitem__, self.runs.findall(ready))))
+            return [self.whole(text)[1] for text in ready]
+        runs = [self.runs.findall(text) for text in ready]
+        self.memo.learn(runs)
+        get, ids = self.memo.__getitem__, itemgetter(1)
+        return [list(chain.from_iterable(map(ids, map(get, parts)))) for parts in runs]
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_all([text])[0]
+
+    def stretch(self, text: str) -> tuple[int, list[int]]:
+        """Score and ids of a stretch between two places that every path passes."""
+        parts = self.runs.findall(text) if self.runs else [text]
+        self.memo.learn([parts])
+        found = [self.memo[part] for part in parts]
+        return sum(x for x, _ in found), list(chain.from_iterable(x for _, x in found))
 
     def decode(self, ids) -> str:
         """The text of ids made by ``encode``; the leading space that encoding adds goes."""
@@ -200,24 +319,52 @@ class Lattice:
             row = [x if x > NONE else NONE for x in best[n - begin : n - begin + width]]
             return np.array(row + [NONE] * (width - len(row)), np.int64)
 
-        first = self.cut(text, width, 1)
-        last = self.cut(text, n - width, -1)
-        if first < 0 or first >= n or last < first:
+        inner = self.inner(text, n)
+        if inner is None:
             for i in range(min(width, n + 1)):
                 out[i] = ends(i, 0, 0)
             return out
-        middle, at = 0, first
-        while at < last:
-            end = self.cut(text, at + 1, 1)
-            middle += self.whole(text[at:end])[0]
-            at = end
-        tail = ends(last, 0, last)
+        first, last = inner
+        middle, tail = self.stretch(text[first:last])[0], ends(last, 0, last)
         for i in range(width):
             best, _ = self.forward(text[:first], [NONE] * i + [0], first)
             if best[first] > NONE:
                 out[i] = np.where(tail > NONE, tail + (best[first] + middle), NONE)
         return out
 
+    def inner(self, text: str, n: int) -> tuple[int, int] | None:
+        """The first and the last place inside a chunk that every path passes, clear of its ends."""
+        first, last = self.cut(text, self.width, 1), self.cut(text, n - self.width, -1)
+        return (first, last) if 0 <= first <= last < n else None
+
+    def entered(self, text: str, n: int, entry: list[int]) -> list[int]:
+        """For each exit the state in which the best path to it enters the chunk, -1 without one."""
+        inner = self.inner(text, n)
+        exits = range(n, min(n + self.width, len(text) + 1))
+        if inner is None:
+            best, back = self.forward(text, entry, n)
+            return [self.backward(text, back, e)[0] if best[e] > NONE else -1 for e in exits]
+        first, last = inner
+        _, back = self.forward(text[:first], entry, first)
+        start = self.backward(text[:first], back, first)[0]
+        best, _ = self.forward(text[last:], [0], n - last)
+        return [start if best[e - last] > NONE else -1 for e in exits]
+
+    def traced(self, text: str, n: int, entry: list[int], leave: int) -> list[int]:
+        """Ids of the best path through a chunk that leaves it in a known state."""
+        inner = self.inner(text, n)
+        if inner is None:
+            _, back = self.forward(text, entry, n)
+            return self.backward(text, back, n + leave)[1]
+        first, last = inner
+        _, head = self.forward(text[:first], entry, first)
+        _, tail = self.forward(text[last:], [0], n - last)
+        return [
+            *self.backward(text[:first], head, first)[1],
+            *self.stretch(text[first:last])[1],
+            *self.backward(text[last:], tail, n - last + leave)[1],
+        ]
+
 
 def prepared(text: str, first: bool) -> str:
     """The text as the vocabulary sees it: spaces as their mark, one more at the very start."""
@@ -284,13 +431,20 @@ class Pieces:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lattice = get()
             for batch in batches:
-                for start in range(0, len(batch), 256):
-                    part = batch.slice(start, 256)
-                    found = [lattice.encode(t.as_py() or "") for t in part.column(text)]
+                texts = [t or "" for t in batch.column(text).to_pylist()]
+                start = 0
+                while start < len(texts):
+                    end, size = start, 0
+                    while end < len(texts) and size < CHARACTERS:
+                        size += len(texts[end])
+                        end += 1
+                    found = lattice.encode_all(texts[start:end])
+                    part = batch.slice(start, end - start)
                     yield pa.RecordBatch.from_arrays(
                         [*part.columns, pa.array(found, pa.list_(pa.int32()))],
                         [*part.schema.names, ids],
                     )
+                    start = end
 
         small = docs.where(~giant).mapInArrow(run, schema)
         numbered = stored(docs.where(giant).withColumn("__row", F.monotonically_increasing_id()))
@@ -349,22 +503,15 @@ class Pieces:
         entered = transferred.groupBy("row").applyInPandas(entries, "row long, c int, entry binary")
         placed = stored(chunks.join(entered, ["row", "c"]))
 
-        def paths(batch: pa.RecordBatch, i: int, lattice: Lattice):
-            text, n = ready(batch, i)
-            entry = np.frombuffer(batch.column("entry")[i].as_buffer(), np.int64).tolist()
-            best, back = lattice.forward(text, entry, n)
-            return text, n, best, back
+        def entry_of(batch: pa.RecordBatch, i: int) -> list[int]:
+            return np.frombuffer(batch.column("entry")[i].as_buffer(), np.int64).tolist()
 
         def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lattice = get()
             for batch in batches:
-                found = []
-                for i in range(len(batch)):
-                    text, n, best, back = paths(batch, i, lattice)
-                    ends = range(n, min(n + width, len(text) + 1))
-                    found.append(
-                        [lattice.backward(text, back, e)[0] if best[e] > NONE else -1 for e in ends]
-                    )
+                found = [
+                    lattice.entered(*ready(batch, i), entry_of(batch, i)) for i in range(len(batch))
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row"), batch.column("c"), pa.array(found, pa.list_(pa.int32()))],
                     ["row", "c", "entered"],
@@ -387,11 +534,11 @@ class Pieces:
         def backtrace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lattice = get()
             for batch in batches:
-                found = []
-                for i in range(len(batch)):
-                    text, n, _, back = paths(batch, i, lattice)
-                    end = n + batch.column("leave")[i].as_py()
-                    found.append(lattice.backward(text, back, end)[1])
+                leave = batch.column("leave").to_pylist()
+                found = [
+                    lattice.traced(*ready(batch, i), entry_of(batch, i), leave[i])
+                    for i in range(len(batch))
+                ]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("row"), batch.column("c"), pa.array(found, pa.list_(pa.int32()))],
                     ["row", "c", "ids"],
