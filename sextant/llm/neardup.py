@@ -17,9 +17,15 @@ Only components are asked for, so a bucket of n texts never becomes n^2 pairs:
 2. Each bucket's members are compared with one pivot, each member only with its most similar pivot.
 3. In buckets that still hold several components, members outside the largest are compared with a
    random member of it. A stray shares many buckets, so it meets many members.
-4. What still shares a bucket across components is compared pair by pair.
-
-Every pair of a bucket is then in one component or has been compared. Sets are made only for
+4. What still shares a bucket across components is compared with one member m of the largest, as
+   sets of differences: D(x) is what x has and m lacks, or m has and x lacks. Two texts x and a are
+   similar only if |D(x)| + |D(a)| - 2 |D(x) & D(a)| is small, so if x is not similar to m, then D(x)
+   and D(a) share many elements, and they share one among their first few in a common order (new
+   shingles first). Only such pairs are compared: a group of copies with a few strays stays linear.
+   Members that hardly resemble m are compared with each other directly; by the triangle
+   inequality they cannot be similar to those close to m.
+
+Every pair of a bucket is then in one component, or compared, or ruled out. Sets are made only for
 classes that share a bucket, from their texts.
 """
 
@@ -43,6 +49,9 @@ BAND = 5
 BANDS = REGISTERS // BAND
 #: Estimates may miss by so many standard deviations before a pair is ruled out.
 SIGMAS = 6.0
+#: Estimated similarity to a group's member m from which, and up to which, a text is compared by
+#: differences, and directly. Similar texts differ by at most 0.2 in it, and estimates by 0.1 each.
+NEAR, FAR = 0.25, 0.65
 #: Chance that two different minima of equal rates share a register, times 2^mantissa bits.
 COLLISION = 0.1699
 #: Words whose hashes a worker remembers at most.
@@ -144,8 +153,8 @@ def estimated(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> tuple[float,
     return (agree / used - p) / (1 - p), used
 
 
-def plausible(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (a, b) whose estimate does not rule out ``percent``, with the estimate."""
+def estimates(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) with their estimate and whether it leaves ``percent`` possible."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = percent / 100
@@ -155,18 +164,21 @@ def plausible(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
             sizes = zip(
                 batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), strict=True
             )
-            keep, values = [], []
+            values, possible = [], []
             for i, (n_a, n_b) in enumerate(sizes):
                 value, used = estimated(left[i], right[i], n_a, n_b)
-                if value >= least - SIGMAS * np.sqrt(least * (1 - least) / used) and (
-                    100 * min(n_a, n_b) >= percent * max(n_a, n_b)
-                ):
-                    keep.append(i)
-                    values.append(value)
-            taken = batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+                slack = SIGMAS * np.sqrt(least * (1 - least) / used)
+                values.append(value)
+                possible.append(
+                    bool(value >= least - slack and 100 * min(n_a, n_b) >= percent * max(n_a, n_b))
+                )
             yield pa.RecordBatch.from_arrays(
-                [*taken.columns, pa.array(values, pa.float64())], ["a", "b", "estimate"]
-            )
+                [
+                    batch.column("a"), batch.column("b"),
+                    pa.array(values, pa.float64()), pa.array(possible, pa.bool_()),
+                ],
+                ["a", "b", "estimate", "possible"],
+            )
 
     def side(name: str) -> DataFrame:
         return sketch.select(
@@ -175,7 +187,64 @@ def plausible(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
         )
 
     joined = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
-    return joined.mapInArrow(run, "a long, b long, estimate double")
+    return joined.mapInArrow(run, "a long, b long, estimate double, possible boolean")
+
+
+def plausible(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (a, b) whose estimate does not rule out ``percent``, with the estimate."""
+    return estimates(pairs, sketch, percent).where("possible").select("a", "b", "estimate")
+
+
+def difference_rows(
+    x: np.ndarray, m: np.ndarray, percent: int
+) -> tuple[np.ndarray, int, bool]:
+    """The first differences of ``x`` to ``m`` that decide, how many of them count for a partner of
+    a stray, and whether ``x`` is a stray (not similar to ``m``)."""
+    ratio = (100 - percent) / (100 + percent)
+    new = np.setdiff1d(x, m, assume_unique=True)
+    gone = np.setdiff1d(m, x, assume_unique=True)
+    n = len(new) + len(gone)
+    stray = n > ratio * (len(x) + len(m))
+
+    def first(overlap: float) -> int:
+        return max(0, n - max(1, int(np.ceil(overlap - 1e-9))) + 1)
+
+    short = first((n - ratio * len(x) + ratio * len(m)) / 2)
+    long = first((n - ratio * len(x) - ratio * len(m)) / 2) if stray else short
+    return np.concatenate([np.sort(new), np.sort(gone)])[: max(short, long)], short, stray
+
+
+def by_differences(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components whose differences to their m agree; ``near`` has m, node
+    and comp."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            left = _column_arrays(batch.column("set_node"), np.uint64)
+            right = _column_arrays(batch.column("set_m"), np.uint64)
+            ids = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("m", "node", "comp")]
+            for i, (x, m) in enumerate(zip(left, right, strict=True)):
+                rows, short, stray = difference_rows(x, m, percent)
+                n = len(rows)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        *(pa.array(np.full(n, c[i])) for c in ids), pa.array(rows.view(np.int64)),
+                        pa.array(np.arange(n) < short), pa.array(np.full(n, stray)),
+                    ],
+                    ["m", "node", "comp", "element", "short", "stray"],
+                )
+
+    def side(name: str) -> DataFrame:
+        return sets.select(F.col("node").alias(name), F.col("hashes").alias(f"set_{name}"))
+
+    rows = stored(
+        near.join(side("node"), "node").join(side("m"), "m").mapInArrow(
+            run, "m long, node long, comp long, element long, short boolean, stray boolean"
+        )
+    )
+    strays = rows.where("stray").select("m", "element", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
+    others = rows.where("short").select("m", "element", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
+    return strays.join(others, ["m", "element"]).where("comp_a != comp_b").select("a", "b").distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -316,9 +385,29 @@ def near_components(
     labels = joined(labels, pairs, best=False)
 
     open_ = mixed_buckets(labels)
-    other = open_.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    across = open_.withColumnRenamed("node", "a").join(other, "key").where("comp < comp_b")
-    labels = joined(labels, across.select("a", "b").distinct(), best=False)
+    sizes = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    # A component's label is a node of it: the member that its group is compared with.
+    main = sizes.groupBy("key").agg(F.max_by("comp", rank).alias("m"))
+    grouped = open_.join(main, "key")
+    members = grouped.select("m", "node", "comp").distinct()
+    to_m = estimates(
+        members.where("node != m").select(F.col("node").alias("a"), F.col("m").alias("b")), sketch, percent
+    )
+    measured = stored(
+        members.where("node != m").join(
+            to_m.select(F.col("a").alias("node"), F.col("b").alias("m"), "estimate", "possible"), ["node", "m"]
+        )
+    )
+    direct = measured.where("possible AND comp != m").select(F.col("node").alias("a"), F.col("m").alias("b"))
+    close = by_differences(measured.where(F.col("estimate") >= NEAR), sets, percent)
+    low = grouped.join(measured.where(F.col("estimate") < FAR).select("m", "node", "estimate"), ["m", "node"])
+    one = low.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("estimate").alias("x"))
+    two = low.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("estimate").alias("y"))
+    apart = one.join(two, "key").where(
+        (F.col("comp_a") < F.col("comp_b")) & (F.least("x", "y") < NEAR)
+    )
+    pairs = direct.unionByName(close).unionByName(apart.select("a", "b")).distinct()
+    labels = joined(labels, pairs, best=False)
 
     placed = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = placed.groupBy("comp").agg(
