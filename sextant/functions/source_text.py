@@ -1,13 +1,14 @@
 """Text scanning of one source file: comment removal and complexity counters.
 
-The only per-file Python of the scan. A file is at most 64 KiB, so each call is small; imports,
-exports and their resolution are column expressions and joins (``operators/modules.py``).
+The only per-file Python of the scan; imports, exports and their resolution are column expressions
+and joins (``operators/modules.py``). Arrow batches are bounded by bytes, whatever the files' sizes.
 """
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -86,77 +87,93 @@ EMPTY = (0, 0, 0, 0, 0)
 Profile = tuple[int, int, int, int, int]
 
 
-def _summary(functions: int, closed: list[tuple[int, int, int]], root: int) -> Profile:
-    """Counters from ``(cyclomatic, nesting, lines)`` of the closed functions and the root."""
-    cyclomatic = [c for c, _, _ in closed] + [root]
-    return (
-        functions,
-        sum(cyclomatic),
-        max(cyclomatic),
-        max((depth for _, depth, _ in closed), default=0),
-        max((lines for _, _, lines in closed), default=0),
-    )
+class _Scopes:
+    """Functions of a file as intervals of lines, and what their own lines add up to.
+
+    ``spans`` are (first, end) of the lines a function owns, in the order in which they begin, so
+    that an inner function takes its lines from the one around it; the rest is the file's.
+    """
+
+    def __init__(self, lines: int, spans: list[tuple[int, int]]) -> None:
+        self.count = len(spans)
+        self.owner = np.zeros(lines, np.int64)  # 0: the file, n: the n-th function
+        for n, (first, end) in enumerate(spans, 1):
+            self.owner[first:end] = n
+
+    def profile(self, decisions: np.ndarray, depth: np.ndarray, lengths: list[int]) -> Profile:
+        """``depth`` by function; a file without functions has no depth and no length."""
+        cyclomatic = 1 + np.bincount(self.owner, decisions, self.count + 1).astype(int)
+        return (
+            self.count, int(cyclomatic.sum()), int(cyclomatic.max()),
+            int(depth.max(initial=0)), max(lengths, default=0),
+        )
+
+
+def _counts(lines: list[str], pattern: re.Pattern) -> np.ndarray:
+    return np.array([len(pattern.findall(line)) for line in lines], np.int64)
 
 
 def brace_profile(source: str, language: str) -> Profile:
-    """Brace languages: a function's nesting is the brace depth it opens at."""
-    shape = strip_comments(source, language, strings=True)
-    opened: list[list] = []  # [is function, first line, cyclomatic] per open brace
-    closed: list[tuple[int, int, int]] = []
-    functions, root, awaiting = 0, 1, False
-    for number, line in enumerate(shape.split("\n")):
-        if _STARTS[language].match(line):
-            functions, awaiting = functions + 1, True
-        found = len(_DECISIONS[language].findall(line))
-        owner = next((frame for frame in reversed(opened) if frame[0]), None)
-        if owner:
-            owner[2] += found
-        else:
-            root += found
-        for brace in re.findall(r"[{}]", line):
-            if brace == "{":
-                opened.append([awaiting, number, 1])
-                awaiting = False
-            elif opened:
-                depth = len(opened)
-                is_function, first, cyclomatic = opened.pop()
-                if is_function:
-                    closed.append((cyclomatic, depth, number - first + 1))
-    return _summary(functions, closed, root)
+    """Brace languages, from a table of braces: the running sum of braces is the depth, and a block
+    ends at the next brace that brings the depth below the one it opened at. A function is the first
+    block that opens on or after its line; decisions on a line belong to the innermost function that
+    is open where the line begins."""
+    lines = strip_comments(source, language, strings=True).split("\n")
+    where = [(n, 1 if c == "{" else -1) for n, line in enumerate(lines) for c in re.findall("[{}]", line)]
+    line = np.array([n for n, _ in where], np.int64)
+    step = np.array([d for _, d in where], np.int64)
+    # A closing brace with nothing open does not count.
+    total = np.cumsum(step)
+    depth = total - np.minimum(np.minimum.accumulate(total), 0) if len(total) else total
+    starts = [n for n, text in enumerate(lines) if _STARTS[language].match(text)]
+    ups = np.flatnonzero(step == 1)
+    opens = sorted({int(k) for k in np.searchsorted(line[ups], starts) if k < len(ups)})
+    spans, deep, lengths = [], [], []
+    for at in ups[opens].tolist():
+        below = np.flatnonzero(depth[at + 1 :] < depth[at])
+        if len(below):
+            last = int(line[at + 1 + below[0]])
+            deep.append(int(depth[at]))
+            lengths.append(last - int(line[at]) + 1)
+            spans.append((int(line[at]) + 1, last + 1))
+    scopes = _Scopes(len(lines), spans)
+    found = scopes.profile(_counts(lines, _DECISIONS[language]), np.array(deep, int), lengths)
+    return (len(starts), *found[1:])
 
 
 def indent_profile(source: str) -> Profile:
-    """Python: scopes by indentation; nesting counts all open blocks of the file."""
-    shape = strip_comments(source, "python", strings=True)
-    rows = [(n, line) for n, line in enumerate(shape.split("\n")) if line.strip()]
-    opened: list[list] = []  # [indent, first line, cyclomatic, nesting]
-    blocks: list[int] = []
-    closed: list[tuple[int, int, int]] = []
-    functions, root, before = 0, 1, 0
-    for number, line in rows:
-        indent = len(line) - len(line.lstrip())
-        while opened and indent <= opened[-1][0]:
-            _, first, cyclomatic, nesting = opened.pop()
-            closed.append((cyclomatic, nesting, before - first + 1))
-        while blocks and indent <= blocks[-1]:
-            blocks.pop()
-        before = number
-        if _STARTS["python"].match(line):
-            opened.append([indent, number, 1, 0])
-            functions += 1
-            continue
-        found = len(_DECISIONS["python"].findall(line))
-        if opened:
-            opened[-1][2] += found
-        else:
-            root += found
-        if _BLOCKS.match(line):
-            blocks.append(indent)
-            if opened:
-                opened[-1][3] = max(opened[-1][3], len(blocks))
-    closed += [(cyclomatic, nesting, before - first + 1)
-               for _, first, cyclomatic, nesting in opened]
-    return _summary(functions, closed, root)
+    """Python, from a table of the lines with text: a scope or block lasts until the next line that
+    is not indented further. Decisions on a ``def`` line do not count; nesting is the number of
+    blocks of the file that are open at a block's own line."""
+    numbered = [
+        (n, text)
+        for n, text in enumerate(strip_comments(source, "python", strings=True).split("\n"))
+        if text.strip()
+    ]
+    lines = [text for _, text in numbered]
+    number = [n for n, _ in numbered]
+    indent = np.array([len(text) - len(text.lstrip()) for text in lines], np.int64)
+
+    def end(at: int) -> int:
+        out = np.flatnonzero(indent[at + 1 :] <= indent[at])
+        return at + 1 + int(out[0]) if len(out) else len(lines)
+
+    defs = [i for i, text in enumerate(lines) if _STARTS["python"].match(text)]
+    blocks = [i for i, text in enumerate(lines) if _BLOCKS.match(text) and i not in set(defs)]
+    spans = [(i + 1, end(i)) for i in defs]
+    scopes = _Scopes(len(lines), spans)
+    edges = np.zeros(len(lines) + 1, np.int64)
+    for i in blocks:
+        edges[i] += 1
+        edges[end(i)] -= 1
+    open_ = np.cumsum(edges)
+    deep = np.zeros(scopes.count + 1, np.int64)
+    for i in blocks:
+        deep[scopes.owner[i]] = max(deep[scopes.owner[i]], open_[i])
+    decisions = _counts(lines, _DECISIONS["python"])
+    decisions[defs] = 0
+    lengths = [number[last - 1] - number[first - 1] + 1 for first, last in spans]
+    return scopes.profile(decisions, deep[1:], lengths)
 
 
 # --- complexity: TypeScript and JavaScript ----------------------------------------------------------
@@ -475,23 +492,26 @@ def script_profile(source: str) -> Profile:
     except (_Unreadable, RecursionError, KeyError):
         return EMPTY
 
-    def owner(at: int) -> int:
-        inside = [n for n, (start, end) in enumerate(functions) if start <= at <= end]
-        return max(inside, key=lambda n: functions[n][0]) if inside else -1
-
+    # Functions are in the order of their starts, so an inner one takes its tokens from the outer.
+    owner = np.full(len(script.tokens) + 1, -1)
+    for n, (start, end) in enumerate(functions):
+        owner[start : end + 1] = n
     cyclomatic = dict.fromkeys(range(-1, len(functions)), 1)
     for at in decisions:
-        cyclomatic[owner(at)] += 1
+        cyclomatic[int(owner[at])] += 1
     nesting = dict.fromkeys(range(-1, len(functions)), 0)
     open_by_owner: dict[int, list[int]] = {}
     for start, end in nested:
-        own = owner(start)
+        own = int(owner[start])
         still = [e for e in open_by_owner.get(own, []) if e >= start] + [end]
         open_by_owner[own] = still
         nesting[own] = max(nesting[own], len(still))
     lines = [script.tokens[end][1] - script.tokens[start][1] + 1 for start, end in functions]
-    closed = [(cyclomatic[n], nesting[n], lines[n]) for n in range(len(functions))]
-    return _summary(len(functions), closed, cyclomatic[-1])
+    own = [nesting[n] for n in range(len(functions))]
+    return (
+        len(functions), sum(cyclomatic.values()), max(cyclomatic.values()),
+        max(own, default=0), max(lines, default=0),
+    )
 
 
 # --- the UDF ----------------------------------------------------------------------------------------
@@ -516,7 +536,7 @@ def profile(source: str, language: str | None) -> Profile:
 @F.pandas_udf(SCAN_TYPE)
 def _scan(content: pd.Series, language: pd.Series) -> pd.DataFrame:
     rows = [
-        (strip_comments(text, lang or "typescript"), *profile(text, lang))
+        (strip_comments(text or "", lang or "typescript"), *profile(text or "", lang))
         for text, lang in zip(content, language)
     ]
     return pd.DataFrame(rows, columns=["code", *COUNTERS])

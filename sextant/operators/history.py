@@ -21,7 +21,6 @@ BOT = r"(?i)(?:\[bot\]|bot$|dependabot|renovate|github-actions)"
 
 # History defaults.
 WINDOW_DAYS = 90
-MAX_COMMITS = 20000
 MAX_CHANGESET = 25
 MIN_CO_CHANGES = 3
 TOP_COUPLINGS = 5

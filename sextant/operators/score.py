@@ -37,7 +37,6 @@ class Policy:
 DEFAULT_POLICY = Policy()
 
 BUCKET_WIDTH = 65536
-SALTS = 32
 
 
 def rank_table(values: DataFrame) -> DataFrame:
@@ -84,9 +83,9 @@ def rank_table(values: DataFrame) -> DataFrame:
 def percentile_ranks(units: DataFrame, metrics: list[str], key: str = "path") -> DataFrame:
     """Add ``<metric>_rank`` for every metric column of ``units``.
 
-    The rank table has one row per distinct value and is stored, so the planner knows its size:
-    up to the broadcast threshold it is sent to the units, beyond it the join shuffles. Most
-    files share a few values (zero above all), so that join is salted.
+    The rank table has one row per distinct value and is stored, so the join is planned from its
+    true size. Most units may share one value (zero above all): that partition of the join is split
+    at run time.
     """
     long = units.select(
         F.explode(
@@ -98,20 +97,14 @@ def percentile_ranks(units: DataFrame, metrics: list[str], key: str = "path") ->
             )
         ).alias("sample")
     ).select("sample.*")
-    salted = cut_lineage(rank_table(long)).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    out = units.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+    ranks, out = cut_lineage(rank_table(long)), units
     for metric in metrics:
-        side = salted.where(F.col("metric") == metric).select(
-            F.col("value").alias(f"{metric}_value"),
-            F.col("rank").alias(f"{metric}_rank"),
-            F.col("salt").alias("rank_salt"),
+        side = ranks.where(F.col("metric") == metric).select(
+            F.col("value").alias(f"{metric}_value"), F.col("rank").alias(f"{metric}_rank")
         )
-        out = out.join(
-            side,
-            (F.col(metric).cast("bigint") == F.col(f"{metric}_value"))
-            & (F.col("salt") == F.col("rank_salt")),
-        ).drop(f"{metric}_value", "rank_salt")
-    return out.drop("salt")
+        same = F.col(metric).cast("bigint") == F.col(f"{metric}_value")
+        out = out.join(side, same).drop(f"{metric}_value")
+    return out
 
 
 def computed_signals(units: DataFrame, policy: Policy = DEFAULT_POLICY) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sextant.errors import SextantError
+from sextant.functions.digest import content_hash
 from sextant.judge import ANSWERS_TYPE, DEPENDENT_SAMPLE, Judge
 from sextant.operators import cache as C
 from sextant.operators import graph, history, modules, search, tools, tree
@@ -83,7 +84,7 @@ def run_scan(
     force: bool = False,
     run_id: str | None = None,
     as_of: str | None = None,
-    max_bytes: int = files_.MAX_BYTES,
+    max_bytes: int | None = None,
 ) -> Run:
     run_id = run_id or f"run_{uuid.uuid4().hex[:16]}"
     started = now_text()
@@ -122,6 +123,7 @@ def run_scan(
         "id": run_id, "started_at": started, "finished_at": now_text(), "root": root,
         "mode": files_.discovery_mode(root), "model": judge.model, "fingerprint": fingerprint,
         "commit": files_.head_commit(root), "counts": total, "usage": usage,
+        "max_bytes": max_bytes,
     }
     store.finish_run(record)
     return store.load_run(run_id)
@@ -131,8 +133,13 @@ def is_current(spark: SparkSession, record: dict, root: str) -> bool:
     """A run holds while the content of all files does; runs without a judge are stale."""
     if not record.get("fingerprint") or record.get("model") == "structural":
         return False
-    found = cut_lineage(files_.discover(spark, root))
-    now = C.repository_fingerprint(files_.units_of(found), files_.skipped_of(found))
+    found = files_.discover(spark, root, max_bytes=record.get("max_bytes"))
+    # Only hashes are stored; the texts are read once and go no further.
+    state = cut_lineage(
+        found.select("path", "reason", "size", content_hash(F.col("content")).alias("hash"))
+    )
+    known = state.where("reason IS NULL").select("path", "hash")
+    now = C.repository_fingerprint(known, files_.skipped_of(state))
     return now.first()["fingerprint"] == record["fingerprint"]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -17,8 +18,8 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # One file's text is at most 64 KiB; keep Arrow batches of texts near 64 MB.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
 
 
@@ -59,11 +60,16 @@ def build_session(app: str = "sextant", master: str | None = None, **conf: str)
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only where none is named (tests, a laptop) a temporary one is made, once per session.
+    Only in one process (tests, a laptop), where no other machine has to see the files, a temporary
+    one is made if none is named, once per session.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError(
+                "Set spark.checkpoint.dir to a folder that the driver and all executors share."
+            )
         context.setCheckpointDir(tempfile.mkdtemp(prefix="sextant-checkpoint-"))
         named = context.getCheckpointDir()
     return named.rstrip("/")

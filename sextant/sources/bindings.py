@@ -7,11 +7,8 @@ ledger. Every binding is a projection or join of whole tables.
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from sextant.operators.graph import distinct_edges
 from sextant.operators.history import MAX_CHANGESET, file_history, with_moment
@@ -19,8 +16,6 @@ from sextant.operators.history import churn as churn_of
 from sextant.session import cut_lineage
 
 MODEL = "judge-1"
-SPREAD_BYTES = 1 << 20
-_SCHEMAS: dict[str, StructType] = {}  # file schemas, so that a table is inspected once
 
 
 class Tables:
@@ -30,15 +25,8 @@ class Tables:
         self.spark, self.directory = spark, directory.rstrip("/")
 
     def read(self, name: str) -> DataFrame:
-        """A table. One that is a single plain file has one split, so its rows are dealt out
-        to all cores before per-row work; tables of many files are read as they lie."""
-        path = f"{self.directory}/{name}.parquet"
-        if path not in _SCHEMAS:
-            _SCHEMAS[path] = self.spark.read.parquet(path).schema
-        table = self.spark.read.schema(_SCHEMAS[path]).parquet(path)
-        if os.path.isfile(path) and os.path.getsize(path) >= SPREAD_BYTES:
-            return table.repartition(self.spark.sparkContext.defaultParallelism)
-        return table
+        """A table as it lies, with the schema that its files have now."""
+        return self.spark.read.parquet(f"{self.directory}/{name}.parquet")
 
     def unit_path(self) -> Column:
         return F.concat_ws(

@@ -21,15 +21,16 @@ from sextant.functions import paths as P
 from sextant.functions.digest import content_hash, line_count
 from sextant.sources.ignore import ignored, load_rules
 
-MAX_BYTES = 65536  # fixed value
 LISTING = "root string, path string, mode string"
 FILES = "root string, path string, size bigint, reason string, content string"
-BATCH = 500
+BATCH, BATCH_CHARS = 500, 16 << 20
 
 
 def _git_listing(root: str) -> Iterator[str] | None:
     """Tracked and untracked paths that git does not ignore; None outside a repository."""
     command = ["git", "-C", root, "ls-files", "-co", "--exclude-standard", "-z", "--", "."]
+    if not os.path.isdir(root):
+        raise FileNotFoundError(f"{root} is no folder that this task can see")
     inside = subprocess.run(
         ["git", "-C", root, "rev-parse", "--is-inside-work-tree"], capture_output=True
     )
@@ -42,12 +43,18 @@ def _git_listing(root: str) -> Iterator[str] | None:
             while chunk := git.stdout.read(1 << 20):
                 *whole, rest = (rest + chunk).split(b"\0")
                 yield from (name.decode("utf-8", "replace") for name in whole if name)
+        if git.returncode or rest:
+            raise RuntimeError(f"git ended with {git.returncode} before it had listed {root}")
 
     return stream()
 
 
+def _fail(error: OSError) -> None:
+    raise error
+
+
 def _walk_listing(root: str, ignored_dirs: frozenset[str]) -> Iterator[str]:
-    for folder, below, names in os.walk(root, followlinks=False):
+    for folder, below, names in os.walk(root, onerror=_fail, followlinks=False):
         below[:] = sorted(n for n in below if n not in ignored_dirs and not n.startswith("."))
         for name in names:
             full = os.path.join(folder, name)
@@ -79,28 +86,32 @@ def list_paths(
     return table.repartition(len(roots), "root").mapInPandas(listing, LISTING)
 
 
-def _read_files(max_bytes: int):
+def _read_file(full: str, max_bytes: int | None) -> tuple[int, str | None, str | None]:
+    """Size, skip reason and text. A listed path that is not there is a row too."""
+    if not os.path.isfile(full):
+        return 0, "missing", None
+    size = os.path.getsize(full)
+    if max_bytes is not None and size > max_bytes:
+        return size, "too_large", None
+    try:
+        with open(full, "rb") as file:
+            return size, None, file.read().decode("utf-8", "replace")
+    except OSError:
+        return size, "unreadable", None
+
+
+def _read_files(max_bytes: int | None):
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         columns = ["root", "path", "size", "reason", "content"]
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for root, path in zip(batch["root"], batch["path"]):
                 full = os.path.join(root, path)
-                if not os.path.isfile(full):
-                    continue
-                size = os.path.getsize(full)
-                if size > max_bytes:
-                    rows.append((root, path, size, "too_large", None))
-                    continue
-                try:
-                    with open(full, "rb") as file:
-                        text = file.read().decode("utf-8", "replace")
-                    rows.append((root, path, size, None, text))
-                except OSError:
-                    rows.append((root, path, size, "unreadable", None))
-                if len(rows) == BATCH:
+                rows.append((root, path, *_read_file(full, max_bytes)))
+                held += len(rows[-1][-1] or "")
+                if len(rows) == BATCH or held >= BATCH_CHARS:
                     yield pd.DataFrame(rows, columns=columns)
-                    rows = []
+                    rows, held = [], 0
             if rows:
                 yield pd.DataFrame(rows, columns=columns)
 
@@ -111,10 +122,12 @@ def discover(
     spark: SparkSession,
     root: str,
     ignored_dirs: list[str] | None = None,
-    max_bytes: int = MAX_BYTES,
+    max_bytes: int | None = None,
 ) -> DataFrame:
     """Candidate files of a root with size, skip reason and content.
 
+    Files larger than ``max_bytes``, if given, and files that cannot be read are rows with a reason.
+
     The path filter runs before any file is read, and paths are spread over all tasks before
     the reads.
     """

@@ -9,15 +9,19 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.operators.history import MAX_COMMITS, WINDOW_DAYS, with_moment
+from sextant.operators.history import WINDOW_DAYS, with_moment
 
 # Record and field separators, and the log format that writes them.
 RECORD, FIELD = "\x1e", "\x1f"
 FORMAT = "--pretty=format:%x1e%H%x1f%an%x1f%aI%x1f%s"
 
 
-def _stream_log(root: str, max_commits: int) -> Iterator[str]:
-    command = ["git", "-C", root, "log", "--no-merges", "--name-only", "-n", str(max_commits), FORMAT]
+def _stream_log(root: str, max_commits: int | None) -> Iterator[str]:
+    within = subprocess.run(["git", "-C", root, "rev-parse", "--verify", "HEAD"], capture_output=True)
+    if within.returncode != 0:
+        return  # no repository, or none with a commit
+    limit = [] if max_commits is None else ["-n", str(max_commits)]
+    command = ["git", "-C", root, "log", "--no-merges", "--name-only", *limit, FORMAT]
     rest = ""
     with subprocess.Popen(
         command, stdout=subprocess.PIPE, stderr=subprocess.DEVNULL,
@@ -26,11 +30,14 @@ def _stream_log(root: str, max_commits: int) -> Iterator[str]:
         while chunk := git.stdout.read(1 << 20):
             *whole, rest = (rest + chunk).split(RECORD)
             yield from whole
+    if git.returncode:
+        raise RuntimeError(f"git ended with {git.returncode} before it had told the log of {root}")
     yield rest
 
 
-def read_log(spark: SparkSession, root: str, max_commits: int = MAX_COMMITS) -> DataFrame:
-    """Raw log records, one row each; a folder without history has none."""
+def read_log(spark: SparkSession, root: str, max_commits: int | None = None) -> DataFrame:
+    """Raw log records, one row each, the newest ``max_commits`` if given; a folder without history
+    has none."""
 
     def records(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

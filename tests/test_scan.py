@@ -1,20 +1,14 @@
-import io
-import json
-
 import pytest
 from pyspark.sql import functions as F
 
-from sextant import report
 from sextant.errors import SextantError
 from sextant.judge import CallableJudge, Choice, LexicalJudge, Relevance
 from sextant.operators import cache
-from sextant.plans import toolbox
 from sextant.plans.intent import default_results, project_fields, run_intent
 from sextant.plans.scan import ensure_run, is_current, run_scan
 from sextant.plans.store import Store, nav_key, prune_nav, read_json, state_dir, write_json
 from sextant.sources import files
 from sextant.sources.ignore import ignored, parse_rules
-from sextant.streaming.rpc import answer, serve
 
 
 @pytest.fixture
@@ -155,48 +149,6 @@ def test_scan_search_and_caches(spark, project, tmp_path):
     assert not is_current(spark, forced.record, root)
     assert not is_current(spark, {**forced.record, "model": "structural"}, root)
 
-    check_tools(toolbox.Toolbox(forced))
-
-
-def check_tools(box):
-    tools = {tool.name: tool for tool in box.tools()}
-    assert list(tools) == [
-        "describe_unit", "list_dependents", "list_coupling", "git_history", "list_hotspots",
-        "work_list", "change_impact", "safe_lanes",
-    ]
-    listed = tools["list_dependents"].run({"path": "src/b.ts"})
-    assert listed["data"]["dependents"] == ["src/a.ts", "src/b.test.ts"]
-    impact = tools["change_impact"].run({"path": "src/b.ts"})["data"]["impacted"]
-    assert [(r["path"], r["priority"] > 0) for r in impact] == [
-        ("src/a.ts", True), ("src/b.test.ts", False)
-    ]
-    assert "fan_in 2" in tools["describe_unit"].run({"path": "src/b.ts"})["content"]
-    assert "bug fixes       1" in tools["git_history"].run({"path": "src/b.ts"})["content"]
-    assert tools["describe_unit"].run({"path": "zzz"}) == {"content": "No unit at zzz.", "data": None}
-    assert tools["list_hotspots"].run({"area": "src"})["data"]["units"][0]["path"] == "src/b.ts"
-    lanes = tools["safe_lanes"].run({})["data"]["lanes"]
-    assert sum(len(lane) for lane in lanes) == 3 and len(lanes) == 2
-    schema = tools["describe_unit"].schema()
-    assert schema["required"] == ["path"] and "src/a.ts" in schema["properties"]["path"]["enum"]
-    assert "required" not in tools["work_list"].schema()
-    check_rpc(list(tools.values()))
-
-
-def check_rpc(tools):
-    def ask(method, **params):
-        return answer("s", "1", tools, {"jsonrpc": "2.0", "id": 1, "method": method, "params": params})
-
-    assert ask("initialize")["result"]["serverInfo"] == {"name": "s", "version": "1"}
-    assert ask("ping")["result"] == {}
-    assert len(ask("tools/list")["result"]["tools"]) == 8
-    called = ask("tools/call", name="list_dependents", arguments={"path": "src/b.ts"})
-    assert called["result"]["structuredContent"]["dependents"][0] == "src/a.ts"
-    assert ask("tools/call", name="nope")["result"]["isError"]
-    assert ask("nope")["error"]["code"] == -32601
-    assert answer("s", "1", tools, {"method": "ping"}) is None
-    out = io.StringIO()
-    serve("s", "1", tools, ["", "{bad", "[1]", '{"id": 7, "method": "ping"}'], out)
-    assert [json.loads(line)["id"] for line in out.getvalue().splitlines()] == [7]
 
 
 def test_copies_share_one_judgment(spark, tmp_path):
@@ -263,64 +215,3 @@ def test_result_sizes():
         {"relevance": 1, "path": "a"}
     ]
     assert project_fields(view, None) is view
-
-
-def tool(name, choices=None, required=()):
-    entries = {arg: [{"value": v, "description": v} for v in values]
-               for arg, values in (choices or {}).items()}
-    return toolbox.Tool(name, f"does {name}", lambda args: {"content": name, "data": args},
-                        {}, list(required), entries)
-
-
-def test_dispatch():
-    tools = [tool("one", {"path": ["a", "b"]}, ["path"]), tool("two", {"area": ["x"]})]
-    plan = toolbox.dispatch_plan(tools)
-    assert set(plan["questions"]) == {"__tool__", "one.path", "two.area", "two.area?"}
-    assert "__none__" in plan["questions"]["two.area"]
-    assert "__none__" not in plan["questions"]["one.path"]
-
-    def read(**answers):
-        return toolbox.read_call(plan, answers)
-
-    def pick(name, confidence=0.9):
-        return {"choice": name, "confidence": confidence}
-
-    assert read(__tool__=pick("__none__")) is None and read() is None
-    assert read(__tool__=pick("zzz")) is None
-    got = toolbox.read_call(plan, {"__tool__": pick("one"), "one.path": pick("b", 0.4)})
-    assert got == {"name": "one", "arguments": {"path": "b"}, "confidence": 0.4}
-    got = toolbox.read_call(plan, {"__tool__": pick("one"), "one.path": pick("zzz", 0.4)})
-    assert got == {"name": "one", "arguments": {}, "confidence": 0.9}
-    unsaid = {"__tool__": pick("two"), "two.area": pick("x"), "two.area?": {"stated": 0.4}}
-    assert toolbox.read_call(plan, unsaid)["arguments"] == {}
-    said = {**unsaid, "two.area?": {"stated": 0.5}}
-    assert toolbox.read_call(plan, said)["arguments"] == {"area": "x"}
-
-    asked = toolbox.investigate_tool(tools, lambda intent, questions: said)
-    assert asked.run({"intent": "x"}) == {"content": "two", "data": {"area": "x"}}
-    none = toolbox.investigate_tool(tools, lambda intent, questions: {})
-    assert none.run({"intent": "x"})["content"] == "No tool fits the intent."
-    found = toolbox.navigate_tool(lambda *args: {"content": "", "data": args}, [])
-    assert found.run({"intent": "i", "run": "r"})["data"] == ("i", None, "r")
-
-
-def test_reports():
-    row = {
-        "path": "src/very/long/path/to/file.ts", "relevance": 0.61, "relevance_confidence": 0.5,
-        "priority": 33.7, "confidence": 0.4, "drivers": ["criticality", "churn"],
-        "stats": {"fan_in": 4, "fan_out": 0, "churn": 1, "defect": 0, "complexity": 3},
-    }
-    view = {"opportunities": [row], "usage": {"input_tokens": 9227, "output_tokens": 1289},
-            "model": "judge-1", "intent": "q", "steps": 10}
-    text = report.format_intent(view)
-    assert "10 steps · 9,227 in / 1,289 out · ~$0.00039" in text
-    assert "criticality, churn (uncertain)" in text
-    narrow = report.format_intent(view, width=40)
-    assert max(len(line) for line in narrow.splitlines() if "src" in line or "…" in line) <= 40
-    assert "cplx" not in narrow and "…" in narrow
-    assert "no relevant files" in report.format_intent({**view, "opportunities": []})
-    assert [report.tone_of(v) for v in (0.7, 0.45, 0.1)] == ["green", "yellow", "dim"]
-    assert [report.format_duration(v) for v in (400, 59400, 61000)] == ["0s", "59s", "1m01s"]
-    assert report.fit("abcdef", 4) == "abc…" and report.fit("abcdef", 4, True) == "…def"
-    line = report.progress_line("reviewing", {"current": 1, "total": 9, "file": "x" * 90}, 1000, 60)
-    assert line.startswith("reviewing · 1/9 · 1s · xxx") and len(line) <= 60
