@@ -12,7 +12,7 @@ from sextant.functions import paths as P
 from sextant.functions.numeric import half_up, result_limit, usd_text
 from sextant.judge import LexicalJudge
 from sextant.operators import cache, graph, history, modules, score, search, tools, tree, usage
-from sextant.plans import evidence
+from sextant.plans import evidence, imports
 from sextant.plans.oracles import with_ctes
 from sextant.session import configure, cut_lineage
 from sextant.sources.bindings import MODEL, Tables
@@ -37,6 +37,10 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+for _name, (_plan, _sql) in imports.PLANS.items():
+    query(_name, _sql)(_plan)
+
+
 def joined(name: str, separator: str = ", ") -> Column:
     return F.array_join(F.col(name), separator).alias(name.split(".")[-1])
 
