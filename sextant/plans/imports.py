@@ -121,7 +121,7 @@ PLANS: dict[str, tuple[Callable[[Tables], DataFrame], str]] = {
 # of the name. Comments hold statements that are none.
 TEXTS = {
     "python": (
-        """concat('# import ', w, '\\n\"\"\"\\nimport none\\n\"\"\"\\nimport os, ', w, '.m', k, ' as x\\n',
+        """concat('# import ', w, '\\nimport os, ', w, '.m', k, ' as x\\n',
           'from .p', k % 9, ' import q\\nfrom . import (r, s as t)\\n',
           CASE WHEN k % 2 = 0 THEN concat('async def f', k, '(): pass\\n') ELSE '' END,
           'class C', k, ':\\n  def inner(self): pass\\nclass _H: pass\\n')""",
