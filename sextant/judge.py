@@ -123,7 +123,8 @@ class CallableJudge:
 
     ``review_fn(payload)`` gets one unit's payload and returns ``{dimension: (score, confidence)}``
     with optional ``input_tokens`` and ``output_tokens``. It runs inside Spark tasks; an exception
-    fails that unit only. ``parallelism`` bounds the number of concurrent callers.
+    fails that unit only. Units are spread over ``parallelism`` tasks at least and as many as a
+    shuffle has; the cores of the executors bound the number of concurrent callers.
     """
 
     def __init__(
@@ -169,7 +170,9 @@ class CallableJudge:
                     columns=["path", "answers", "error", "input_tokens", "output_tokens"],
                 )
 
-        answered = packed.repartition(self._parallelism, "path").mapInPandas(call, schema)
+        tasks = int(evidence.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        spread = packed.repartition(max(self._parallelism, tasks), "path")
+        answered = spread.mapInPandas(call, schema)
         return kept.join(answered, "path")
 
     def rank(self, intent: str, node: dict, candidates: list[dict]) -> Choice:

@@ -126,24 +126,24 @@ def impact_rows(edges: DataFrame, couplings: DataFrame, run_units: DataFrame) ->
     """
     importers = edges.select(
         F.col("dst").alias("path"), F.col("src").alias("affected"),
-        F.struct(F.lit(0).alias("rank"), F.lit(0.0).alias("strength")).alias("why"),
+        F.lit(0).alias("rank"), F.lit(0.0).alias("strength"),
     )
     partners = couplings.select(
         "path", F.col("other").alias("affected"),
-        F.struct(F.lit(1).alias("rank"), "strength").alias("why"),
+        F.lit(1).alias("rank"), "strength",
     )
     merged = (
         importers.join(run_units.select("path"), "path", "left_semi")
         .unionByName(partners)
         .groupBy("path", "affected")
-        .agg(F.min("why").alias("why"))
+        .agg(F.min("rank").alias("rank"), F.max("strength").alias("strength"))
     )
     priorities = run_units.select(F.col("path").alias("affected"), "priority")
     return merged.join(priorities, "affected", "left").select(
         "path", "affected",
         F.coalesce("priority", F.lit(0.0)).alias("priority"),
-        F.when(F.col("why.rank") == 0, F.lit("imports it"))
-        .otherwise(F.concat(F.lit("co-changes "), percent_label(F.col("why.strength"))))
+        F.when(F.col("rank") == 0, F.lit("imports it"))
+        .otherwise(F.concat(F.lit("co-changes "), percent_label(F.col("strength"))))
         .alias("relation"),
     )
 

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sextant.functions.numeric import estimate_cost
-from sextant.operators.score import BUCKET_WIDTH
 
 
 def usage_rows(ledger: DataFrame) -> DataFrame:
@@ -33,47 +32,9 @@ def usage_totals(rows: DataFrame) -> DataFrame:
 
 
 def exact_median(values: DataFrame, column: str) -> DataFrame:
-    """Median of whole numbers (mean of the middle two) without collecting or sorting them all.
-
-    Values are counted per distinct value, then per bucket of 65,536 neighbours; the middle
-    positions are found in the bucket totals and only their buckets are looked into.
-    """
-    counted = (
-        values.where(F.col(column).isNotNull())
-        .groupBy(F.col(column).cast("bigint").alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("bucket", F.floor(F.col("value") / F.lit(BUCKET_WIDTH)))
-    )
-    everything = Window.partitionBy()
-    upto = everything.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    buckets = counted.groupBy("bucket").agg(F.sum("n").alias("bucket_n")).select(
-        "bucket",
-        (F.sum("bucket_n").over(upto) - F.col("bucket_n")).alias("before"),
-        "bucket_n",
-        F.sum("bucket_n").over(everything).alias("total"),
-    )
-    low, high = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
-    middle = buckets.where(
-        (low.between(F.col("before") + 1, F.col("before") + F.col("bucket_n")))
-        | (high.between(F.col("before") + 1, F.col("before") + F.col("bucket_n")))
-    )
-    inside = (
-        Window.partitionBy("bucket").orderBy("value")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
-    located = counted.join(middle, "bucket").withColumn(
-        "last", F.col("before") + F.sum("n").over(inside)
-    ).withColumn("first", F.col("last") - F.col("n") + 1)
-    return located.agg(
-        F.coalesce(
-            (
-                F.max(F.when(low.between(F.col("first"), F.col("last")), F.col("value")))
-                + F.max(F.when(high.between(F.col("first"), F.col("last")), F.col("value")))
-            )
-            / 2.0,
-            F.lit(0.0),
-        ).alias("median")
-    )
+    """Median (mean of the middle two); 0 without values. Values are combined per distinct value
+    ahead of the exchange."""
+    return values.agg(F.coalesce(F.median(column), F.lit(0.0)).alias("median"))
 
 
 def economics(queries: DataFrame, cold: dict | None, warm: dict | None) -> DataFrame:

@@ -11,7 +11,9 @@ from sextant.functions import digest, text
 from sextant.functions import paths as P
 from sextant.functions.numeric import half_up, result_limit, usd_text
 from sextant.judge import LexicalJudge
-from sextant.operators import cache, graph, history, modules, score, search, tools, tree, usage
+from sextant.operators import (
+    cache, expansion, graph, history, modules, score, search, tools, tree, usage,
+)
 from sextant.plans import evidence, imports
 from sextant.plans.oracles import with_ctes
 from sextant.session import configure, cut_lineage
@@ -736,17 +738,17 @@ def area_coverage(t: Tables) -> DataFrame:
     return search.area_leaders(slim_nodes(t)).select("area", "path", "priority")
 
 
-@query(
-    "lookahead_descendants",
-    """SELECT area, path, kind, relation, slot FROM (
+NEAR = """SELECT area, path, kind, relation, slot FROM (
          SELECT *, row_number() OVER (PARTITION BY area ORDER BY up, priority DESC, path) AS slot
          FROM (SELECT o.area, o.path, o.kind, o.priority, o.up,
                  CASE WHEN up = 0 AND kind = 'unit' THEN 'file in this area'
                    WHEN up = 0 THEN 'sub-area' ELSE '2 levels down' END AS relation
                FROM offered o JOIN (SELECT area, count(*) AS children FROM offered WHERE up = 0
                  GROUP BY area) c USING (area) WHERE up = 0 OR children < 12))
-       WHERE slot <= 40""",
-)
+       WHERE slot <= 40"""
+
+
+@query("lookahead_descendants", NEAR)
 def lookahead_descendants(t: Tables) -> DataFrame:
     near = search.neighbourhood(slim_nodes(t))
     return near.select("area", "path", "kind", "relation", "slot")
@@ -790,6 +792,31 @@ def anchor_relations(t: Tables) -> DataFrame:
     )
 
 
+def _pick(strategy: str, before: str) -> str:
+    """What a strategy adds to what is picked before it."""
+    return f"""SELECT area, path, strategy, slot FROM (
+      SELECT *, row_number() OVER (PARTITION BY area ORDER BY place, path) AS slot FROM z_offered r
+      WHERE strategy = '{strategy}' AND NOT EXISTS (
+        SELECT 1 FROM {before} b WHERE b.area = r.area AND b.path = r.path)) WHERE slot <= 6"""
+
+
+@query(
+    "expand_all",
+    f"""SELECT * FROM (
+      WITH z_near AS (SELECT area, path, 'descend' AS strategy, slot FROM ({NEAR})),
+      z_offered AS (
+        SELECT a.path AS area, x.strategy, x.target AS path, x.place
+        FROM areas a JOIN ({RELATED}) x ON x.path = a.hot
+        WHERE x.target IN (SELECT path FROM run)),
+      z_one AS (SELECT * FROM z_near UNION ALL {_pick("imports", "z_near")}),
+      z_two AS (SELECT * FROM z_one UNION ALL {_pick("dependents", "z_one")})
+      SELECT * FROM z_two UNION ALL {_pick("coupled", "z_two")})""",
+)
+def expand_all(t: Tables) -> DataFrame:
+    found = search_map(t)
+    return expansion.expand_all(found.nodes, found.relations)
+
+
 CANDIDATE = "path string, strategy string, relation string, weight double"
 
 
