@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sextant.session import configure, cut_lineage, shared_folder
 
 #: Arrow batches are bounded by bytes, so that a batch of very long texts stays small.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:

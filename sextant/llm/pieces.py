@@ -22,10 +22,8 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
-from operator import itemgetter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +41,9 @@ LITERAL = "\udfff"
 SCALE = 1 << 16
 NONE = -(1 << 62)
 #: Runs whose pieces a worker remembers at most, and the longest run it remembers.
-MEMO_RUNS, MEMO_LENGTH = 300_000, 64
+MEMO_RUNS, MEMO_LENGTH = 200_000, 64
 #: So many new runs and more are segmented together; characters of texts that are encoded at a time.
-TOGETHER, CHARACTERS = 2_000, 1 << 22
+TOGETHER, CHARACTERS = 1_000, 1 << 21
 
 
 def load_vocabulary(path: str = MODEL) -> list[tuple[str, float, str]]:
@@ -76,37 +74,35 @@ def load_vocabulary(path: str = MODEL) -> list[tuple[str, float, str]]:
 
 
 class _Table:
-    """Pieces by the hash of their characters, for looking up many substrings at a time."""
+    """Prefixes of pieces by the hash of their characters, for looking up many at a time. Entry 0 is
+    none; a prefix that is no piece has no id and a score that never wins."""
 
     BITS = 20
     BASE = np.uint64(0x9E3779B97F4A7C15)
 
-    def __init__(self, pieces: list[tuple[str, int, int]], width: int) -> None:
+    def __init__(self, prefixes: dict[str, tuple[int, int] | None], width: int) -> None:
         self.powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(width, self.BASE)])
-        self.keys = np.zeros(len(pieces) + 1, np.uint64)
-        self.scores = np.full(len(pieces) + 1, NONE, np.int64)
-        self.ids = np.full(len(pieces) + 1, -1, np.int32)
-        for i, (piece, score, number) in enumerate(pieces, 1):
-            codes = np.frombuffer(piece.encode("utf-32-le"), np.uint32)[:, None]
-            self.keys[i] = self.prefixes(codes)[-1, 0]
-            self.scores[i], self.ids[i] = score, number
-        entries = np.arange(1, len(pieces) + 1)
+        self.keys = np.zeros(len(prefixes) + 1, np.uint64)
+        self.scores = np.full(len(prefixes) + 1, NONE, np.int64)
+        self.ids = np.full(len(prefixes) + 1, -1, np.int32)
+        for i, (prefix, piece) in enumerate(prefixes.items(), 1):
+            codes = np.frombuffer(prefix.encode("utf-32-le"), np.uint32)[:, None]
+            self.keys[i] = self.hashes(codes)[-1, 0]
+            if piece is not None:
+                self.scores[i], self.ids[i] = piece
+        entries = np.arange(1, len(prefixes) + 1, dtype=np.int32)
+        places = self.slot(self.keys[1:])
         self.first = np.zeros(1 << self.BITS, np.int32)
-        self.first[self.slot(self.keys[1:], 1)] = entries
-        rest = entries[self.first[self.slot(self.keys[1:], 1)] != entries]
-        # Pieces whose place is taken have a place in a second table.
-        for self.other in range(3, 2001, 2):
-            places = self.slot(self.keys[rest], self.other)
-            if len(np.unique(places)) == len(rest):
-                break
-        self.second = np.zeros(1 << self.BITS, np.int32)
-        self.second[places] = rest
-
-    def slot(self, keys: np.ndarray, way: int) -> np.ndarray:
-        mixed = (keys ^ (keys >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93 * way % (1 << 64))
-        return (mixed >> np.uint64(64 - self.BITS)).astype(np.int64)
-
-    def prefixes(self, codes: np.ndarray) -> np.ndarray:
+        self.first[places] = entries
+        # Prefixes whose place is taken are in a sorted list.
+        rest = entries[self.first[places] != entries]
+        self.rest = rest[np.argsort(self.keys[rest])]
+        self.rest_keys = self.keys[self.rest]
+
+    def slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys ^ (keys >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - self.BITS)
+
+    def hashes(self, codes: np.ndarray) -> np.ndarray:
         """Hashes of the prefixes of texts that are the columns of ``codes``."""
         x = (codes.astype(np.uint64) + np.uint64(1)) * np.uint64(0xBF58476D1CE4E5B9)
         x ^= x >> np.uint64(29)
@@ -117,23 +113,24 @@ class _Table:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Entries of the keys, 0 where there is none."""
-        found = self.first[self.slot(keys, 1)]
-        wrong = np.flatnonzero(self.keys[found] != keys)
-        other = self.second[self.slot(keys[wrong], self.other)]
-        found[wrong] = np.where(self.keys[other] == keys[wrong], other, 0)
+        found = self.first[self.slot(keys)]
+        other = np.flatnonzero((self.keys[found] != keys) & (found != 0))
+        if len(other):
+            at = np.minimum(np.searchsorted(self.rest_keys, keys[other]), max(len(self.rest) - 1, 0))
+            known = self.rest_keys[at] == keys[other] if len(self.rest) else np.zeros(len(other), bool)
+            found[other] = np.where(known, self.rest[at] if len(self.rest) else 0, 0)
         return found
 
 
 class _Memo(dict):
-    """Score and ids of runs, remembered."""
+    """Ids of runs, remembered."""
 
     def __init__(self, lattice: Lattice) -> None:
         super().__init__()
         self.lattice = lattice
 
-    def __missing__(self, run: str) -> tuple[int, tuple[int, ...]]:
-        score, ids = self.lattice.whole(run)
-        found = score, tuple(ids)
+    def __missing__(self, run: str) -> tuple[int, ...]:
+        found = tuple(self.lattice.whole(run)[1])
         if len(run) <= MEMO_LENGTH:
             self[run] = found
         return found
@@ -157,16 +154,14 @@ class Lattice:
     (score, id), or to None where the prefix is no piece."""
 
     def __init__(self, vocabulary: list[tuple[str, float, str]]) -> None:
-        self.surfaces: list[bytes] = []
+        self.surfaces = surfaces_of(vocabulary)
         self.byte_ids = [0] * 256
         self.prefixes: dict[str, tuple[int, int] | None] = {}
         self.pairs: set[str] = set()
         self.width, least = 1, 0.0
         for i, (piece, score, kind) in enumerate(vocabulary):
-            self.surfaces.append(piece.replace(SPACE, " ").encode() if kind == "piece" else b"")
             if kind == "byte":
                 self.byte_ids[int(piece[3:5], 16)] = i
-                self.surfaces[i] = bytes([int(piece[3:5], 16)])
             if kind != "piece":
                 continue
             for end in range(1, len(piece)):
@@ -180,8 +175,7 @@ class Lattice:
         alone = "\n" if not any("\n" in pair for pair in self.pairs) else ""
         self.runs = None if inner else re.compile(f"{SPACE}*[^{SPACE}{alone}]+|{SPACE}+|\n")
         self.memo = _Memo(self)
-        found = [(p, *x) for p, x in self.prefixes.items() if x is not None]
-        self.table = _Table(found, self.width)
+        self.table = _Table(self.prefixes, self.width)
 
     def bytes_of(self, char: str) -> list[int]:
         return [self.byte_ids[b] for b in (SPACE if char == LITERAL else char).encode()]
@@ -238,42 +232,49 @@ class Lattice:
         n, count, table = int(lengths.max()), len(texts), self.table
         filled = "".join([text.ljust(n, "\0") for text in texts])
         codes = np.frombuffer(filled.encode("utf-32-le", "surrogatepass"), np.uint32)
-        hashes = table.prefixes(codes.reshape(count, n).T)
+        hashes = table.hashes(codes.reshape(count, n).T)
         best = np.full((n + 1, count), NONE, np.int64)
         best[0] = 0
-        back = np.zeros((n + 1, count), np.int64)
+        back = np.zeros((n + 1, count), np.int8)
         entry = np.zeros((n + 1, count), np.int32)
+
+        def offer(end: int, some: np.ndarray, value: np.ndarray, s: int, found) -> None:
+            better = value > best[end, some]
+            some = some[better]
+            best[end, some], back[end, some] = value[better], s
+            entry[end, some] = found[better]
+
         for s in range(n):
+            # Texts that go on, and of them those whose characters from here on begin a piece.
+            some = np.flatnonzero(lengths > s)
+            from_here = hashes[s]
             for size in range(1, min(self.width, n - s) + 1):
-                found = table.find(hashes[s + size] - hashes[s] * table.powers[size])
-                scores = table.scores[found]
+                found = table.find(hashes[s + size, some] - from_here[some] * table.powers[size])
                 if size == 1:
-                    scores[found == 0] = self.unknown
-                    some = np.arange(count)
-                else:
-                    some = np.flatnonzero(found)
-                value = best[s, some] + scores[some]
-                better = value > best[s + size, some]
-                some, value = some[better], value[better]
-                best[s + size, some], back[s + size, some] = value, s
-                entry[s + size, some] = found[some]
-        at, column = lengths, np.arange(count)
+                    alone = table.ids[found] < 0
+                    bare = some[alone]
+                    offer(s + 1, bare, best[s, bare] + self.unknown, s, np.zeros(len(bare), np.int32))
+                some, found = some[found > 0], found[found > 0]
+                if not len(some):
+                    break
+                piece = table.ids[found] >= 0
+                offer(s + size, some[piece], best[s, some[piece]] + table.scores[found[piece]], s, found[piece])
+        at, column = lengths.copy(), np.arange(count)
         steps = []
         odd = np.zeros(count, bool)
         while (at > 0).any():
             used = entry[at, column]
             odd |= (used == 0) & (at > 0)
             steps.append(np.where(at > 0, table.ids[used], -1))
-            at = back[at, column]
+            at = back[at, column].astype(np.int64)
         ids = np.stack(steps[::-1]).T
         ends = np.cumsum((ids >= 0).sum(axis=1)).tolist()
         flat, start = ids[ids >= 0].tolist(), 0
-        for text, end, score in zip(texts, ends, best[lengths, column].tolist(), strict=True):
-            memo[text] = score, tuple(flat[start:end])
+        for text, end in zip(texts, ends, strict=True):
+            memo[text] = tuple(flat[start:end])
             start = end
         for i in np.flatnonzero(odd).tolist():  # holds characters that no piece covers
-            score, found = self.whole(texts[i])
-            memo[texts[i]] = score, tuple(found)
+            memo[texts[i]] = tuple(self.whole(texts[i])[1])
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
         """Ids of many texts."""
@@ -282,23 +283,23 @@ class Lattice:
             return [self.whole(text)[1] for text in ready]
         runs = [self.runs.findall(text) for text in ready]
         self.memo.learn(runs)
-        get, ids = self.memo.__getitem__, itemgetter(1)
-        return [list(chain.from_iterable(map(ids, map(get, parts)))) for parts in runs]
+        get = self.memo.__getitem__
+        return [list(chain.from_iterable(map(get, parts))) for parts in runs]
 
     def encode(self, text: str) -> list[int]:
         return self.encode_all([text])[0]
 
-    def stretch(self, text: str) -> tuple[int, list[int]]:
-        """Score and ids of a stretch between two places that every path passes."""
+    def stretch(self, text: str) -> list[int]:
+        """Ids of a stretch between two places that every path passes."""
         parts = self.runs.findall(text) if self.runs else [text]
-        self.memo.learn([parts])
-        found = [self.memo[part] for part in parts]
-        return sum(x for x, _ in found), list(chain.from_iterable(x for _, x in found))
+        return list(chain.from_iterable(map(self.memo.__getitem__, parts)))
+
+    def prepare_chunks(self, texts: list[str]) -> None:
+        if self.runs:
+            self.memo.learn([self.runs.findall(text) for text in texts])
 
     def decode(self, ids) -> str:
-        """The text of ids made by ``encode``; the leading space that encoding adds goes."""
-        surfaces = self.surfaces
-        return b"".join([surfaces[i] for i in ids])[1:].decode()
+        return decoded(self.surfaces, ids)
 
     def cut(self, text: str, at: int, step: int) -> int:
         """The first place from ``at`` on, in steps of 1 or -1, that every path passes; -1 if none."""
@@ -324,12 +325,13 @@ class Lattice:
             for i in range(min(width, n + 1)):
                 out[i] = ends(i, 0, 0)
             return out
+        # What lies between the two adds the same to every path, and only differences matter.
         first, last = inner
-        middle, tail = self.stretch(text[first:last])[0], ends(last, 0, last)
+        tail = ends(last, 0, last)
         for i in range(width):
             best, _ = self.forward(text[:first], [NONE] * i + [0], first)
             if best[first] > NONE:
-                out[i] = np.where(tail > NONE, tail + (best[first] + middle), NONE)
+                out[i] = np.where(tail > NONE, tail + best[first], NONE)
         return out
 
     def inner(self, text: str, n: int) -> tuple[int, int] | None:
@@ -361,11 +363,25 @@ class Lattice:
         _, tail = self.forward(text[last:], [0], n - last)
         return [
             *self.backward(text[:first], head, first)[1],
-            *self.stretch(text[first:last])[1],
+            *self.stretch(text[first:last]),
             *self.backward(text[last:], tail, n - last + leave)[1],
         ]
 
 
+def surfaces_of(vocabulary: list[tuple[str, float, str]]) -> list[bytes]:
+    """What each id stands for in a text."""
+    make = {
+        "piece": lambda piece: piece.replace(SPACE, " ").encode(),
+        "byte": lambda piece: bytes([int(piece[3:5], 16)]), "control": lambda piece: b"",
+    }
+    return [make[kind](piece) for piece, _, kind in vocabulary]
+
+
+def decoded(surfaces: list[bytes], ids) -> str:
+    """The text of ids made by ``encode``; the leading space that encoding adds goes."""
+    return b"".join([surfaces[i] for i in ids])[1:].decode()
+
+
 def prepared(text: str, first: bool) -> str:
     """The text as the vocabulary sees it: spaces as their mark, one more at the very start."""
     marked = text.replace(SPACE, LITERAL).replace(" ", SPACE)
@@ -489,7 +505,9 @@ class Pieces:
                     ["row", "c", "matrix"],
                 )
 
-        def entries(part: pd.DataFrame) -> pd.DataFrame:
+        def entries(part):
+            import pandas as pd
+
             part = part.sort_values("c")
             made = [np.frombuffer(m, np.int64).reshape(width, width) for m in part["matrix"]]
             return pd.DataFrame(
@@ -517,7 +535,9 @@ class Pieces:
                     ["row", "c", "entered"],
                 )
 
-        def exits(part: pd.DataFrame) -> pd.DataFrame:
+        def exits(part):
+            import pandas as pd
+
             part = part.sort_values("c")
             out, state = [], 0
             for entered in reversed(list(part["entered"])):
@@ -535,6 +555,7 @@ class Pieces:
             lattice = get()
             for batch in batches:
                 leave = batch.column("leave").to_pylist()
+                lattice.prepare_chunks([ready(batch, i)[0] for i in range(len(batch))])
                 found = [
                     lattice.traced(*ready(batch, i), entry_of(batch, i), leave[i])
                     for i in range(len(batch))
@@ -551,15 +572,15 @@ class Pieces:
     def decode(self, encoded: DataFrame, ids: str = "ids", text: str = "decoded") -> DataFrame:
         """``encoded`` plus the texts of its ``ids`` in the column ``text``, which replaces one of
         that name. Null ids give the empty text."""
-        get, encoded = self._get(), encoded.drop(text)
+        shared, encoded = self.shared, encoded.drop(text)
         schema = StructType([*encoded.schema.fields, StructField(text, StringType())])
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            lattice = get()
+            surfaces = surfaces_of(shared.value)
             for batch in batches:
                 column = batch.column(ids)
                 texts = [
-                    lattice.decode(column[i].values.to_numpy(zero_copy_only=False).tolist())
+                    decoded(surfaces, column[i].values.to_numpy(zero_copy_only=False).tolist())
                     if column[i].is_valid
                     else ""
                     for i in range(len(column))
