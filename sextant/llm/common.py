@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.session import configure, cut_lineage, shared_folder
+from sextant.session import configure, cut_lineage, scratch_folder
 
 #: Arrow batches are bounded by bytes, so that a batch of very long texts stays small.
 BATCH_BYTES = 4 << 20
@@ -31,7 +31,8 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 def new_folder(spark: SparkSession, kind: str) -> str:
-    return f"{shared_folder(spark)}/sextant/{kind}-{uuid.uuid4().hex}"
+    """A new folder that all executors share; it is removed when the driver ends."""
+    return f"{scratch_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def text_or_empty(column: str | Column) -> Column:
