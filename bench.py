@@ -18,11 +18,11 @@ from sextant.session import build_session  # noqa: E402
 
 HEADLINE = [
     "file_churn", "authorship", "cochange_pairs", "coupling_topk", "file_history",
-    "edges", "fan_in_out", "percentile_ranks", "priority", "run_units",
+    "edges", "import_graph", "source_facts", "fan_in_out", "percentile_ranks", "priority", "run_units",
     "node_table", "hotspots_by_area", "lookahead_descendants", "change_impact", "safe_lanes",
     "answer_keys", "cache_misses", "doc_units", "repo_fingerprint", "identifier_tokens",
     "decision_counts", "page_refs", "page_tree", "usage_rows", "economics",
-    "search_opportunities",
+    "expand_all", "search_opportunities",
 ]
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import re
 import tempfile
 import uuid
@@ -24,6 +26,7 @@ RUNTIME_CONF = {
 
 
 _SHIPPED: set[str] = set()
+_SCRATCH: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
@@ -75,6 +78,21 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder; it is removed when the driver ends."""
+    folder = f"{shared_folder(spark)}/sextant/{spark.sparkContext.applicationId}"
+    if folder not in _SCRATCH:
+        _SCRATCH.add(folder)
+        atexit.register(_remove, spark, folder)
+    return folder
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended in any way
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an intermediate that several consumers share, and go on from what was written.
 
@@ -82,6 +100,6 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     upstream. Being Parquet, its consumers read only their columns, and its measured size is
     what join planning goes by.
     """
-    path = f"{shared_folder(df.sparkSession)}/sextant/{uuid.uuid4().hex}"
+    path = f"{scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
