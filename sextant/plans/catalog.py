@@ -24,6 +24,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
+#: Texts of more characters play the files that a scan with a size limit skips.
+TEXT_LIMIT = 4000
 INTENT = "tighten the small ring and the hot gears"
 
 
@@ -300,10 +302,12 @@ def run_units(t: Tables) -> DataFrame:
 @query(
     "run_counts",
     "SELECT count(*) AS total, count_if(error IS NULL) AS scored, "
-    "count_if(error IS NOT NULL) AS failed, 0 AS skipped FROM run",
+    "count_if(error IS NOT NULL) AS failed, "
+    f"(SELECT count(*) FROM texts WHERE length(content) > {TEXT_LIMIT}) AS skipped FROM run",
 )
 def run_counts(t: Tables) -> DataFrame:
-    return evidence.counts(slim_scan(t))
+    skipped = t.texts().where(F.length("content") > TEXT_LIMIT).agg(F.count(F.lit(1))).scalar()
+    return evidence.counts(slim_scan(t), skipped)
 
 
 # --- tree ---------------------------------------------------------------------------------------
@@ -551,8 +555,9 @@ def doc_units(t: Tables) -> DataFrame:
     "FROM lanes_in",
 )
 def repo_fingerprint(t: Tables) -> DataFrame:
-    units = t.texts().select("path", digest.content_hash(F.col("content")).alias("hash"))
-    return cache.repository_fingerprint(units, units.where(F.lit(False)))
+    texts, long = t.texts(), F.length("content") > TEXT_LIMIT
+    units = texts.where(~long).select("path", digest.content_hash(F.col("content")).alias("hash"))
+    return cache.repository_fingerprint(units, texts.where(long).select("path"))
 
 
 @query("graph_fingerprints", "SELECT path, graph_fingerprint FROM graph_prints")
@@ -668,13 +673,14 @@ def decision_counts(t: Tables) -> DataFrame:
 
 
 def judgment_cache(keys: DataFrame) -> DataFrame:
-    """Entries an earlier run left: the units below the size the judge has since re-read."""
-    return (
-        keys.where(F.col("complexity_facts.max_cyclomatic") < 40)
-        .select("key")
-        .distinct()
-        .withColumns({"answers": F.lit("{}"), "model": F.lit(MODEL)})
-    )
+    """Entries an earlier run left: small units, some of them read by another model, with another
+    content or in another state."""
+    size = F.col("complexity_facts.max_cyclomatic")
+    model = F.when(size % 7 == 0, "judge-0").otherwise(MODEL)
+    hash_ = F.when(size % 5 == 0, F.sha2(F.concat("hash", F.lit("-old")), 256)).otherwise(F.col("hash"))
+    state = F.when(size % 3 == 0, F.concat("state", F.lit("0"))).otherwise(F.col("state"))
+    then = keys.where(size < 40).select(digest.answer_key(hash_, model, state).alias("key"), model.alias("model"))
+    return then.dropDuplicates(["key"]).withColumn("answers", F.lit("{}"))
 
 
 @query("cache_hits", "SELECT path, key FROM keys WHERE key IN (SELECT key FROM cached)")

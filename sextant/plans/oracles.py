@@ -273,7 +273,8 @@ CTES: dict[str, str] = {
                sum(CAST('0x' || substr(h, 31, 15) AS BIGINT)::HUGEINT) AS l2,
                sum(CAST('0x' || substr(h, 46, 15) AS BIGINT)::HUGEINT) AS l3,
                count(*) AS entries
-        FROM (SELECT sha256(path || ':' || sha256(content)) AS h FROM texts)""",
+        FROM (SELECT sha256(path || ':' || CASE WHEN length(content) > 4000 THEN 'skipped'
+                ELSE sha256(content) END) AS h FROM texts)""",
     "graph_prints": """
         SELECT f.path, substr(sha256(concat_ws('|', f.fan_out, f.fan_in, coalesce(l0, 0),
                  coalesce(l1, 0), coalesce(l2, 0), coalesce(l3, 0))), 1, 16) AS graph_fingerprint
@@ -296,7 +297,12 @@ CTES: dict[str, str] = {
                 CAST(floor(max_cyclomatic / 10) AS BIGINT)::VARCHAR,
                 (max_cyclomatic * 2)::VARCHAR], '|')), 1, 16) AS state
               FROM targets t JOIN graph_prints USING (path) LEFT JOIN history USING (path))""",
-    "cached": "SELECT DISTINCT key FROM keys WHERE max_cyclomatic < 40",
+    "cached": """
+        SELECT DISTINCT substr(sha256('3|'
+          || CASE WHEN max_cyclomatic % 5 = 0 THEN sha256(hash || '-old') ELSE hash END
+          || CASE WHEN max_cyclomatic % 7 = 0 THEN '|judge-0|' ELSE '|judge-1|' END
+          || state || CASE WHEN max_cyclomatic % 3 = 0 THEN '0' ELSE '' END), 1, 32) AS key
+        FROM keys WHERE max_cyclomatic < 40""",
     "ledger": """
         SELECT 'run_' || user_id || '_' || strftime(CAST(ts AS DATE), '%Y%m%d') AS id,
                strftime(CAST(ts AS DATE), '%Y-%m-%dT00:00:00Z') AS started_at,
