@@ -230,8 +230,9 @@ def by_differences(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                     [
                         *(pa.array(np.full(n, c[i])) for c in ids), pa.array(rows.view(np.int64)),
                         pa.array(np.arange(n) < short), pa.array(np.full(n, stray)),
+                        pa.array(np.full(n, len(x))),
                     ],
-                    ["m", "node", "comp", "element", "short", "stray"],
+                    ["m", "node", "comp", "element", "short", "stray", "size"],
                 )
 
     def side(name: str) -> DataFrame:
@@ -239,12 +240,25 @@ def by_differences(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     rows = stored(
         near.join(side("node"), "node").join(side("m"), "m").mapInArrow(
-            run, "m long, node long, comp long, element long, short boolean, stray boolean"
+            run,
+            "m long, node long, comp long, element long, short boolean, stray boolean, size long",
         )
     )
-    strays = rows.where("stray").select("m", "element", F.col("node").alias("a"), F.col("comp").alias("comp_a"))
-    others = rows.where("short").select("m", "element", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-    return strays.join(others, ["m", "element"]).where("comp_a != comp_b").select("a", "b").distinct()
+
+    def renamed(part: DataFrame, name: str) -> DataFrame:
+        return part.select(
+            "m", "element", F.col("node").alias(name), F.col("comp").alias(f"comp_{name}"),
+            F.col("size").alias(f"size_{name}"),
+        )
+
+    pairs = renamed(rows.where("stray"), "a").join(renamed(rows.where("short"), "b"), ["m", "element"])
+    return pairs.where("comp_a != comp_b").where(alike_in_size(percent)).select("a", "b").distinct()
+
+
+def alike_in_size(percent: int) -> Column:
+    """Sets of other sizes cannot reach ``percent``."""
+    a, b = F.col("size_a"), F.col("size_b")
+    return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -400,11 +414,20 @@ def near_components(
     )
     direct = measured.where("possible AND comp != m").select(F.col("node").alias("a"), F.col("m").alias("b"))
     close = by_differences(measured.where(F.col("estimate") >= NEAR), sets, percent)
-    low = grouped.join(measured.where(F.col("estimate") < FAR).select("m", "node", "estimate"), ["m", "node"])
-    one = low.select("key", F.col("node").alias("a"), F.col("comp").alias("comp_a"), F.col("estimate").alias("x"))
-    two = low.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("estimate").alias("y"))
-    apart = one.join(two, "key").where(
-        (F.col("comp_a") < F.col("comp_b")) & (F.least("x", "y") < NEAR)
+    low = grouped.join(
+        measured.where(F.col("estimate") < FAR).select("m", "node", "estimate"), ["m", "node"]
+    ).join(sketch.select("node", "n_shingles"), "node")
+
+    def end(name: str) -> DataFrame:
+        return low.select(
+            "key", F.col("node").alias(name), F.col("comp").alias(f"comp_{name}"),
+            F.col("estimate").alias(f"to_m_{name}"), F.col("n_shingles").alias(f"size_{name}"),
+        )
+
+    apart = end("a").join(end("b"), "key").where(
+        (F.col("comp_a") < F.col("comp_b"))
+        & (F.least("to_m_a", "to_m_b") < NEAR)
+        & alike_in_size(percent)
     )
     pairs = direct.unionByName(close).unionByName(apart.select("a", "b")).distinct()
     labels = joined(labels, pairs, best=False)
