@@ -30,8 +30,8 @@ PASSAGE = 400
 SAMPLE_ROWS = 20_000
 FIT_BYTES = 2_000
 #: A feature must be in so many sampled texts.
-LEAST_TEXTS = 3
-ROUNDS, RATE, RIDGE = 12, 0.1, 1e-3
+LEAST_TEXTS = 5
+ROUNDS, RATE, RIDGE = 30, 0.1, 1e-3
 #: Bytes of a text that are scored at a time.
 SEGMENT = 1 << 20
 
@@ -131,6 +131,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
         yield pa.RecordBatch.from_pydict({"weights": [weights.tobytes()], "bias": [bias]})
 
     found = sample.repartition(1).mapInArrow(run, "weights binary, bias double").first()
+    if found is None:  # nothing to learn from: every score is a half
+        return np.zeros(1 << BITS, np.float32), 0.0
     return np.frombuffer(found["weights"], np.float32), found["bias"]
 
 
