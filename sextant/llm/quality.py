@@ -49,8 +49,13 @@ def full_lines(text: Column) -> Column:
 
 
 def with_words(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The words of each text in ``__words``, and what the cheap signals read, kept as columns."""
-    return docs.withColumn("__words", words_of(text_or_empty(text)))
+    """The words of each text in ``__words``.
+
+    They are made by a generator of one row: the optimizer puts no later filter below it, which
+    would split the text again wherever a rule looks at a word.
+    """
+    words = F.explode(F.array(words_of(text_or_empty(text))))
+    return docs.drop("__words").select("*", words.alias("__words"))
 
 
 def window_hashes(words: Column) -> Column:
