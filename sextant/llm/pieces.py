@@ -136,11 +136,15 @@ class _Memo(dict):
         return found
 
     def learn(self, runs: list[list[str]]) -> None:
-        """Finds the best paths of all new runs at once, where there are many."""
+        """Finds the best paths of all new runs at once, where there are many. A full memory keeps
+        what these texts use."""
+        wanted = set(chain.from_iterable(runs))
         if len(self) >= MEMO_RUNS:
+            kept = {run: self[run] for run in wanted & self.keys()}
             self.clear()
+            self.update(kept)
         by_length: dict[int, list[str]] = {}
-        new = set(chain.from_iterable(runs)).difference(self)
+        new = wanted.difference(self)
         for run in new if len(new) >= TOGETHER else ():
             if len(run) <= MEMO_LENGTH:
                 by_length.setdefault(-(-len(run) // 4), []).append(run)
