@@ -1,13 +1,15 @@
 """Toxicity: a linear classifier over character n-grams, features scaled by naive Bayes ratios.
 
 Features are the hashed 3-, 4- and 5-grams of the lower-cased UTF-8 bytes. Each is scaled by its
-log-count ratio (how much likelier it is in toxic than in other texts), and a logistic regression is
-fitted on the scaled features. A text is scored by its most toxic passage: the weights of the
-n-grams that start within ``PASSAGE`` bytes, the largest sum over all such passages. So a long text
-is held against the same measure as a short one, and all of it counts.
-
-Fitting uses a bounded sample (``SAMPLE_ROWS`` labelled rows, of which those of at most
-``FIT_BYTES`` bytes are read), so one task holds it; scoring is one pass without a shuffle.
+log-count ratio (how much likelier it is in toxic than in other texts), less where few texts show
+it, and a logistic regression is fitted on the scaled features, both kinds weighing the same. A text
+is scored by its most toxic passage: the weights of the n-grams that start within ``PASSAGE`` bytes,
+the largest sum over all such passages. So a long text is held against the same measure as a short
+one, and all of it counts. It is fitted in the same way: counts are of whole texts, and the
+regression sees each text by the passage that is its most toxic one under the weights so far.
+
+Fitting uses a bounded sample: whole texts of any length, at most ``SAMPLE_ROWS`` of them and no more
+after ``SAMPLE_BYTES``, so one task holds it. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -25,13 +27,19 @@ from sextant.llm.common import table, text_or_empty
 GRAMS = (3, 4, 5)
 BITS = 20
 PASSAGE = 400
-#: The sample: so many labelled rows at most, in the order of a hash of their ids; texts of more
-#: bytes are left out of the fit, because their labels say little about each passage.
+#: The sample: labelled rows in the order of a hash of their ids, so many at most, up to and with the
+#: row that reaches the bytes. A row's length does not decide whether it is taken.
 SAMPLE_ROWS = 20_000
-FIT_BYTES = 2_000
+SAMPLE_BYTES = 128 << 20
 #: A feature must be in so many sampled texts.
-LEAST_TEXTS = 5
+LEAST_TEXTS = 3
 ROUNDS, RATE, RIDGE = 30, 0.1, 1e-3
+#: A ratio counts in full from so many standard errors on, below by the square of the share.
+SURE = 10
+#: How often each text's passage is chosen: by the ratios, then by the weights fitted before.
+CHOICES = 2
+#: Passages that a step of the fit takes at a time.
+BLOCK = 2_000
 #: Bytes of a text that are scored at a time.
 SEGMENT = 1 << 20
 
@@ -56,34 +64,69 @@ def padded(text: str) -> bytes:
     return b" " + text.encode("utf-8", "surrogatepass").translate(_LOWER) + b" " * max(GRAMS)
 
 
-def fit(texts: list[str], labels: list[int]) -> tuple[np.ndarray, float]:
-    """Weights of all hashed n-grams and the bias. Without texts of both kinds, all weights are 0."""
+def windows(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Sums of the weights over the passages that start at each place."""
+    sums = np.r_[0.0, np.cumsum(weights[found].sum(axis=0, dtype=np.float64))]
+    width = min(PASSAGE, len(sums) - 1)
+    return sums[width:] - sums[: len(sums) - width]
+
+
+def passage(data: bytes, weights: np.ndarray) -> tuple[np.ndarray, float]:
+    """The n-grams of the most toxic passage of padded bytes, and their sum."""
+    found, best, tail = np.empty(0, np.int32), -np.inf, max(GRAMS)
+    for start in range(0, max(1, len(data) - tail), SEGMENT):
+        part = grams(data[start : start + SEGMENT + PASSAGE - 1 + tail])
+        sums = windows(part, weights)
+        at = int(sums.argmax())
+        if sums[at] > best:
+            found, best = part[:, at : at + PASSAGE].ravel(), float(sums[at])
+    return found, best
+
+
+def fit(texts: list[bytes], labels: list[int]) -> tuple[np.ndarray, float]:
+    """Weights of all hashed n-grams and the bias, from padded texts. Without texts of both kinds,
+    all weights are 0."""
     y = np.array(labels, np.float64)
     size, positive = 1 << BITS, float(y.sum())
     bias = float(np.log((positive + 1) / (len(y) - positive + 1)))
     if not 0 < positive < len(y):
         return np.zeros(size, np.float32), bias
-    seen = [np.unique(grams(padded(t))) for t in texts]
     toxic, other = np.ones(size), np.ones(size)
-    for found, label in zip(seen, labels, strict=True):
+    for data, label in zip(texts, labels, strict=True):
+        tail = max(GRAMS)
+        seen = [
+            np.unique(grams(data[start : start + SEGMENT + tail]))
+            for start in range(0, max(1, len(data) - tail), SEGMENT)
+        ]
+        found = seen[0] if len(seen) == 1 else np.unique(np.concatenate(seen))
         (toxic if label else other)[found] += 1
     ratio = np.log(toxic / (positive + 2)) - np.log(other / (len(y) - positive + 2))
     ratio[toxic + other < LEAST_TEXTS + 2] = 0
-    seen = [found[ratio[found] != 0] for found in seen]
-    beta, squares, square = np.zeros(size), np.full(size, 1e-8), 1e-8
-    for _ in range(ROUNDS):
-        gradient, slope = RIDGE * beta / len(y), 0.0
+    ratio *= np.minimum(1, np.abs(ratio) / np.sqrt(1 / toxic + 1 / other) / SURE) ** 2
+    each = np.where(y > 0, 0.5 / positive, 0.5 / (len(y) - positive))
+    weights, beta = ratio, np.zeros(size)
+    for _ in range(CHOICES):
+        chosen = [passage(data, weights)[0] for data in texts]
+        squares, square = np.full(size, 1e-8), 1e-8
+        for _ in range(ROUNDS):
+            gradient, slope = np.zeros(size), 0.0
+            weights = beta * ratio
+            for start in range(0, len(y), BLOCK):
+                rows = slice(start, start + BLOCK)
+                lengths = np.array([len(found) for found in chosen[rows]])
+                found = np.concatenate(chosen[rows])
+                sums = np.add.reduceat(weights[found], np.r_[0, np.cumsum(lengths)[:-1]])
+                z = np.clip(sums + bias, -30, 30)
+                error = (1 / (1 + np.exp(-z)) - y[rows]) * each[rows]
+                gradient += np.bincount(found, np.repeat(error, lengths), size)
+                slope += float(error.sum())
+            gradient = gradient * ratio + RIDGE * beta / len(y)
+            squares += gradient * gradient
+            square += slope * slope
+            beta -= RATE * gradient / np.sqrt(squares)
+            bias -= RATE * slope / np.sqrt(square)
         weights = beta * ratio
-        for found, label in zip(seen, y, strict=True):
-            z = np.clip(weights[found].sum() + bias, -30, 30)
-            error = (1 / (1 + np.exp(-z)) - label) / len(y)
-            gradient[found] += error * ratio[found]
-            slope += error
-        squares += gradient * gradient
-        square += slope * slope
-        beta -= RATE * gradient / np.sqrt(squares)
-        bias -= RATE * slope / np.sqrt(square)
-    return (beta * ratio).astype(np.float32), bias
+    return weights.astype(np.float32), bias
 
 
 def toxicity(text: str, weights: np.ndarray, bias: float) -> float:
@@ -91,9 +134,7 @@ def toxicity(text: str, weights: np.ndarray, bias: float) -> float:
     tail = max(GRAMS)
     for start in range(0, max(1, len(data) - tail), SEGMENT):
         part = data[start : start + SEGMENT + PASSAGE - 1 + tail]
-        sums = np.r_[0.0, np.cumsum(weights[grams(part)].sum(axis=0, dtype=np.float64))]
-        width = min(PASSAGE, len(sums) - 1)
-        best = max(best, float((sums[width:] - sums[: len(sums) - width]).max()))
+        best = max(best, float(windows(grams(part), weights).max()))
     return float(1 / (1 + np.exp(-np.clip(best + bias, -30, 30))))
 
 
@@ -105,7 +146,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Fits on ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic) outside the held-out ids.
 
     Rows without a label or id are not used. The sampled ids (at most SAMPLE_ROWS) are broadcast, so
-    no text is shuffled but those of the sample, at most FIT_BYTES each, to the one task that fits.
+    no text is shuffled but those of the sample, to the one task that fits; it reads them in order
+    and keeps whole ones until there are SAMPLE_ROWS or SAMPLE_BYTES of them.
     """
     ids = (
         labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
@@ -116,21 +158,23 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     )
     sample = (
         docs.select("doc_id", text_or_empty("text").alias("text"))
-        .where(F.octet_length("text") <= FIT_BYTES)
         .join(F.broadcast(ids), "doc_id")
+        .repartition(1)
+        .sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text", "toxic")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [
-            row
-            for batch in batches
-            for row in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "toxic")), strict=True)
-        ]
-        rows.sort()
-        weights, bias = fit([t for _, t, _ in rows], [y for *_, y in rows])
+        texts, labels, size = [], [], 0
+        for batch in batches:
+            for text, toxic in zip(batch.column("text"), batch.column("toxic"), strict=True):
+                if len(texts) < SAMPLE_ROWS and size < SAMPLE_BYTES:
+                    texts.append(padded(text.as_py()))
+                    labels.append(toxic.as_py())
+                    size += len(texts[-1])
+        weights, bias = fit(texts, labels)
         yield pa.RecordBatch.from_pydict({"weights": [weights.tobytes()], "bias": [bias]})
 
-    found = sample.repartition(1).mapInArrow(run, "weights binary, bias double").first()
+    found = sample.mapInArrow(run, "weights binary, bias double").first()
     if found is None:  # nothing to learn from: every score is a half
         return np.zeros(1 << BITS, np.float32), 0.0
     return np.frombuffer(found["weights"], np.float32), found["bias"]
