@@ -560,6 +560,14 @@ def repo_fingerprint(t: Tables) -> DataFrame:
     return cache.repository_fingerprint(units, texts.where(long).select("path"))
 
 
+@query("repo_fingerprint_whole")
+def repo_fingerprint_whole(t: Tables) -> DataFrame:
+    """The content of every text counts, whatever its length; a null text is an empty one."""
+    content = F.coalesce("content", F.lit(""))
+    units = t.texts().select("path", digest.content_hash(content).alias("hash"))
+    return cache.repository_fingerprint(units, units.where(F.lit(False)))
+
+
 @query("graph_fingerprints", "SELECT path, graph_fingerprint FROM graph_prints")
 def graph_fingerprints(t: Tables) -> DataFrame:
     return graph.graph_fingerprints(t.units(), t.edges())
