@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from sextant.llm import chat, exact, licenses, mixing, neardup, pieces, quality, repeats, secrets, toxicity
+from sextant.llm import (
+    chat, divergence, exact, licenses, mixing, neardup, pieces, quality, repeats, secrets, sharding,
+    toxicity, whitening,
+)
 
 QUERIES = {
     "op1_exact_dedup": exact.op1_exact_dedup,
@@ -15,6 +18,9 @@ QUERIES = {
     "op8_toxicity": toxicity.op8_toxicity,
     "op9_license_scan": licenses.op9_license_scan,
     "op10_repeated_passages": repeats.op10_repeated_passages,
+    "op11_embedding_whitening": whitening.op11_embedding_whitening,
+    "op12_source_divergence": divergence.op12_source_divergence,
+    "op13_sharding": sharding.op13_sharding,
 }
 
 ORACLES = {
@@ -25,4 +31,5 @@ ORACLES = {
     "op5_quality_rules": quality.OP5_SQL,
     "op6_minhash_neardup": neardup.OP6_SQL,
     "op9_license_scan": licenses.OP9_SQL,
+    "op12_source_divergence": divergence.OP12_SQL,
 }
