@@ -21,19 +21,19 @@ def line_count(text: Column) -> Column:
     return F.when(text == "", F.lit(0)).otherwise(newlines + 1)
 
 
+def lane_values(item: Column) -> list[Column]:
+    """A string's SHA-256 cut into four 60-bit numbers."""
+    digest = F.sha2(item, 256)
+    parts = [F.substring(digest, lane * LANE_DIGITS + 1, LANE_DIGITS) for lane in range(LANES)]
+    return [F.conv(part, 16, 10).cast("decimal(20,0)") for part in parts]
+
+
 def lane_sums(item: Column) -> list[Column]:
-    """Aggregates that together identify a multiset of strings.
+    """Aggregates that together identify a multiset of strings: the sums of their lanes.
 
-    Each string's SHA-256 is cut into four 60-bit numbers, which are added up per lane. Sums
-    combine on the map side, so a group of any size needs neither a sort nor a collected list.
+    Sums combine on the map side, so a group of any size needs neither a sort nor a collected list.
     """
-    digest = F.sha2(item, 256)
-    lanes = []
-    for lane in range(LANES):
-        part = F.substring(digest, lane * LANE_DIGITS + 1, LANE_DIGITS)
-        number = F.conv(part, 16, 10).cast("decimal(20,0)")
-        lanes.append(F.sum(number).alias(f"lane_{lane}"))
-    return lanes
+    return [F.sum(value).alias(f"lane_{lane}") for lane, value in enumerate(lane_values(item))]
 
 
 def lanes_digest(count: Column, length: int, *lead: Column) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sextant.functions import paths as P
 from sextant.functions.numeric import percent_label
+from sextant.operators.packages import Links
 from sextant.operators.tree import NO_DRIVER, areas_of, by_priority, leading_units
 
 # List lengths.
@@ -91,8 +92,12 @@ def unit_at(run_units: DataFrame, path: str) -> DataFrame:
     return run_units.where(F.col("path") == path)
 
 
-def list_dependents(edges: DataFrame, path: str) -> DataFrame:
-    return edges.where(F.col("dst") == path).select(F.col("src").alias("dependent"))
+def _into(edges: DataFrame | Links, path: str) -> DataFrame:
+    return edges.into(path) if isinstance(edges, Links) else edges.where(F.col("dst") == path)
+
+
+def list_dependents(edges: DataFrame | Links, path: str) -> DataFrame:
+    return _into(edges, path).select(F.col("src").alias("dependent"))
 
 
 def coupling_rows(run_units: DataFrame) -> DataFrame:
@@ -148,10 +153,10 @@ def impact_rows(edges: DataFrame, couplings: DataFrame, run_units: DataFrame) ->
     )
 
 
-def change_impact(edges: DataFrame, run_units: DataFrame, path: str) -> DataFrame:
+def change_impact(edges: DataFrame | Links, run_units: DataFrame, path: str) -> DataFrame:
     one = unit_at(run_units, path)
     return impact_rows(
-        edges.where(F.col("dst") == path), coupling_rows(one), run_units
+        _into(edges, path), coupling_rows(one), run_units
     ).drop("path").orderBy(
         F.desc("priority"), F.asc(P.in_locale_order(F.col("affected")))
     )
@@ -166,7 +171,7 @@ def work_members(run_units: DataFrame) -> DataFrame:
     return top_of_areas(slim, ["coupled"], WORK_LIMIT)
 
 
-def lane_conflicts(members: DataFrame, edges: DataFrame) -> DataFrame:
+def lane_conflicts(members: DataFrame, edges: DataFrame | Links) -> DataFrame:
     """Pairs of an area's work list that must not run at once (``first`` ranks higher).
 
     Lists have at most ten members, so an area has at most 45 pairs. Pairs conflict when one
@@ -183,7 +188,11 @@ def lane_conflicts(members: DataFrame, edges: DataFrame) -> DataFrame:
     )
     listed = pairs.select(F.col("first").alias("src"), F.col("second").alias("dst")).distinct()
     either = listed.unionByName(listed.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    imported = either.join(edges, ["src", "dst"], "left_semi").select(
+    known = (
+        edges.among(either) if isinstance(edges, Links)
+        else either.join(edges, ["src", "dst"], "left_semi")
+    )
+    imported = known.select(
         F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high"),
         F.lit(True).alias("imported"),
     ).distinct()
@@ -202,7 +211,7 @@ def lane_conflicts(members: DataFrame, edges: DataFrame) -> DataFrame:
     )
 
 
-def safe_lanes(members: DataFrame, edges: DataFrame) -> DataFrame:
+def safe_lanes(members: DataFrame, edges: DataFrame | Links) -> DataFrame:
     """First-fit lanes of every area's work list.
 
     A member's conflicts with earlier members are one bit mask; a fold over the at most ten

@@ -24,8 +24,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-#: Texts of more characters play the files that a scan with a size limit skips.
-TEXT_LIMIT = 4000
 INTENT = "tighten the small ring and the hot gears"
 
 
@@ -135,6 +133,11 @@ def path_kinds(t: Tables) -> DataFrame:
     )
 
 
+def left_out(t: Tables) -> DataFrame:
+    """Source paths that a scan leaves out: generated files."""
+    return t.source_paths().where(~P.is_candidate(F.col("path"))).select("path")
+
+
 @query("source_facts")
 def source_facts(t: Tables) -> DataFrame:
     """Facts and complexity of every document read as source text of its language."""
@@ -303,10 +306,10 @@ def run_units(t: Tables) -> DataFrame:
     "run_counts",
     "SELECT count(*) AS total, count_if(error IS NULL) AS scored, "
     "count_if(error IS NOT NULL) AS failed, "
-    f"(SELECT count(*) FROM texts WHERE length(content) > {TEXT_LIMIT}) AS skipped FROM run",
+    "(SELECT count(*) FROM left_out) AS skipped FROM run",
 )
 def run_counts(t: Tables) -> DataFrame:
-    skipped = t.texts().where(F.length("content") > TEXT_LIMIT).agg(F.count(F.lit(1))).scalar()
+    skipped = left_out(t).agg(F.count(F.lit(1))).scalar()
     return evidence.counts(slim_scan(t), skipped)
 
 
@@ -555,12 +558,17 @@ def doc_units(t: Tables) -> DataFrame:
     "FROM lanes_in",
 )
 def repo_fingerprint(t: Tables) -> DataFrame:
-    texts, long = t.texts(), F.length("content") > TEXT_LIMIT
-    units = texts.where(~long).select("path", digest.content_hash(F.col("content")).alias("hash"))
-    return cache.repository_fingerprint(units, texts.where(long).select("path"))
+    """Every text by its content, a null one as empty, and the source files left out of a scan."""
+    content = F.coalesce("content", F.lit(""))
+    units = t.texts().select("path", digest.content_hash(content).alias("hash"))
+    return cache.repository_fingerprint(units, left_out(t))
 
 
-@query("repo_fingerprint_whole")
+@query(
+    "repo_fingerprint_whole",
+    "SELECT substr(sha256(concat_ws('|', entries, l0, l1, l2, l3)), 1, 32) AS fingerprint, entries "
+    "FROM whole_in",
+)
 def repo_fingerprint_whole(t: Tables) -> DataFrame:
     """The content of every text counts, whatever its length; a null text is an empty one."""
     content = F.coalesce("content", F.lit(""))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sextant.judge import Judge
+from sextant.operators import packages
 from sextant.operators.graph import fan_in_out
 from sextant.operators.score import DEFAULT_POLICY, Policy, computed_signals, score_units
 
@@ -34,18 +35,21 @@ def metrics(units: DataFrame, churn: DataFrame) -> DataFrame:
 
 
 def gather(
-    units: DataFrame, edges: DataFrame, history: DataFrame, churn: DataFrame | None = None
+    units: DataFrame, edges: DataFrame | packages.Links, history: DataFrame,
+    churn: DataFrame | None = None,
 ) -> DataFrame:
     """Source units with graph, history and computed signals.
 
     All joins share the key ``path``. The ranks only need counters, so they are computed from
     ``churn`` where the caller has it apart from the full history.
     """
+    whole = isinstance(edges, packages.Links)
+    fans = packages.fan_in_out(units, edges) if whole else fan_in_out(units, edges)
     packed = history.select("path", F.struct(*HISTORY_FIELDS).alias("history"))
     signals = computed_signals(metrics(units, history if churn is None else churn))
     return (
         targets(units)
-        .join(fan_in_out(units, edges), "path")
+        .join(fans, "path")
         .join(packed, "path", "left")
         .join(signals, "path")
     )

@@ -2,7 +2,8 @@
 import statements that name another part in its language's own way.
 
 One part in three has the other form of file (package, index, module folder, test), one in seven
-has both, and one order in eleven names what does not exist.
+has both, and one order in eleven names what does not exist. Folders hold some twenty parts, so their
+number grows with the parts.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sextant.operators import graph, modules
+from sextant.operators import modules, packages
+from sextant.operators.packages import Links
 from sextant.sources.bindings import Tables
 
 GO_MODULE = "example.org/mono"
@@ -40,7 +42,7 @@ SPEC = """CASE s % 4
   WHEN 2 THEN concat('example.org/mono/go/', td, gone)
   ELSE CASE WHEN n % 2 = 0 THEN concat('super::r', t, gone)
     ELSE concat('crate::', td, '::r', t, gone) END END"""
-FOLDER = "concat('d', p_size % 5)"
+FOLDER = "concat('d', p_size % 5, 'x', CAST(floor(p_partkey / 100) AS BIGINT))"
 TARGET = "(l_partkey - 1 + 4 * (l_linenumber * 7 + l_suppkey % 5)) % parts + 1"
 GONE = "CASE WHEN l_orderkey % 11 = 0 THEN 'zz' ELSE '' END"
 
@@ -52,22 +54,50 @@ def files(t: Tables) -> DataFrame:
     return one.unionByName(two)
 
 
-def statements(t: Tables) -> DataFrame:
+def statements(t: Tables, *languages: str) -> DataFrame:
+    """src, language, spec of every line whose part is of one of the languages."""
+    wanted = [LANGUAGES.index(name) for name in languages]
     parts = t.read("part").selectExpr("p_partkey AS k", f"{FOLDER} AS d")
     count = t.read("part").agg(F.count(F.lit(1))).scalar()
-    lines = t.read("lineitem").withColumn("parts", count).selectExpr(
+    lines = t.read("lineitem").where((F.col("l_partkey") % 4).isin(wanted)).withColumn("parts", count)
+    named = lines.selectExpr(
         "l_partkey AS s", f"{TARGET} AS t", "l_linenumber AS n", f"{GONE} AS gone"
     )
     source = parts.selectExpr("k AS s", f"{PATH} AS src", f"{LANGUAGE} AS language")
     target = parts.selectExpr("k AS t", "d AS td")
-    return lines.join(source, "s").join(target, "t").selectExpr("src", "language", f"{SPEC} AS spec")
+    return named.join(source, "s").join(target, "t").selectExpr("src", "language", f"{SPEC} AS spec")
 
 
-def resolved(t: Tables, *languages: str) -> DataFrame:
-    wanted = statements(t).where(F.col("language").isin(list(languages))).distinct()
-    return graph.distinct_edges(modules.resolve_statements(wanted, files(t), GO_MODULE))
+def links(t: Tables, *languages: str) -> Links:
+    return modules.resolve_links(statements(t, *languages), files(t), GO_MODULE)
 
 
+# Without a module's name: imports end in a folder that the repository has, or in one of its
+# parents' names only; some packages have a vendored copy, whose folder is the longer one.
+VENDORED = "concat('vendored/', regexp_replace(path, '/f([0-9]+)', '/v$1'))"
+VENDORED_SQL = "concat('vendored/', regexp_replace(path, '/f([0-9]+)', '/v\\1'))"
+FOREIGN = """CASE WHEN spec LIKE '%zz' THEN spec WHEN length(src) % 3 = 0 THEN spec
+  WHEN length(src) % 3 = 1 THEN replace(spec, 'example.org/mono', 'host.dev/vendored')
+  ELSE replace(spec, 'example.org/mono/go/', '') END"""
+
+
+def suffix_links(t: Tables) -> Links:
+    own = files(t)
+    copies = own.where("language = 'go' AND path LIKE '%5.go'").selectExpr(f"{VENDORED} AS path", "language")
+    foreign = statements(t, "go").selectExpr("src", "language", f"{FOREIGN} AS spec")
+    return modules.resolve_links(foreign, own.unionByName(copies), None)
+
+
+def edges_of(links_: Links) -> DataFrame:
+    return links_.written_out()
+
+
+def priorities(t: Tables) -> DataFrame:
+    return files(t).selectExpr("path", f"{PRIORITY} AS priority")
+
+
+PRIORITY = "CAST(length(path) * 7 % 23 AS DOUBLE)"
+
 CTES = f"""
 WITH p AS (SELECT p_partkey AS k, {FOLDER} AS d FROM part),
 f AS (
@@ -101,20 +131,79 @@ c AS (
   UNION ALL SELECT 'typescript', src,
     unnest([m, m || '.ts', m || '.js', m || '/index.ts', regexp_replace(m, '\\.js$', '.ts')]),
     unnest([1, 2, 3, 4, 5]), m FROM web),
-e AS (
+direct AS (
   SELECT language, src, arg_min(dst, place) AS dst
-  FROM c JOIN (SELECT DISTINCT path AS dst FROM f) USING (dst) GROUP BY language, src, m
-  UNION ALL SELECT 'go', src, path FROM go JOIN f
-    ON regexp_replace(path, '/[^/]*$', '') = folder AND f.language = 'go'
-  WHERE path NOT LIKE '%\\_test.go' ESCAPE '\\')
-SELECT DISTINCT src, dst FROM e WHERE src <> dst"""
+  FROM c JOIN (SELECT DISTINCT path AS dst FROM f) USING (dst) GROUP BY language, src, m),
+gofiles AS (
+  SELECT regexp_replace(path, '/[^/]*$', '') AS folder, path FROM f
+  WHERE language = 'go' AND path NOT LIKE '%\\_test.go' ESCAPE '\\'),
+e AS (
+  SELECT * FROM direct
+  UNION ALL SELECT 'go', src, path FROM go JOIN gofiles USING (folder)),
+x AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst),
+lanes AS (
+  SELECT dst, sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)::HUGEINT) AS l0,
+    sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)::HUGEINT) AS l1,
+    sum(CAST('0x' || substr(h, 31, 15) AS BIGINT)::HUGEINT) AS l2,
+    sum(CAST('0x' || substr(h, 46, 15) AS BIGINT)::HUGEINT) AS l3, count(*) AS fan_in
+  FROM (SELECT dst, sha256(src) AS h FROM x) GROUP BY dst),
+fan_rows AS (
+  SELECT path, coalesce(fan_in, 0) AS fan_in, coalesce(fan_out, 0) AS fan_out, l0, l1, l2, l3
+  FROM (SELECT DISTINCT path FROM f) LEFT JOIN lanes ON dst = path
+  LEFT JOIN (SELECT src, count(*) AS fan_out FROM x GROUP BY src) ON src = path)"""
+
+FOREIGN_CTES = f"""{CTES},
+v AS (
+  SELECT folder, path FROM gofiles
+  UNION SELECT regexp_replace(path, '/[^/]*$', ''), path
+  FROM (SELECT {VENDORED_SQL} AS path FROM f WHERE language = 'go' AND path LIKE '%5.go')),
+h AS (SELECT DISTINCT src, {FOREIGN} AS spec FROM w WHERE language = 'go'),
+b AS (
+  SELECT src, spec, arg_max(folder, length(folder)) AS folder FROM h JOIN (SELECT DISTINCT folder FROM v)
+  ON spec = folder OR ends_with(spec, '/' || folder) GROUP BY src, spec)"""
 
 PLANS: dict[str, tuple[Callable[[Tables], DataFrame], str]] = {
     f"resolve_{name}": (
-        lambda t, name=name: resolved(t, name), f"{CTES} AND language = '{name}'"
+        lambda t, name=name: edges_of(links(t, name)),
+        f"{CTES} SELECT DISTINCT src, dst FROM e WHERE src <> dst AND language = '{name}'",
     )
     for name in LANGUAGES
-} | {"import_graph": (lambda t: resolved(t, *LANGUAGES), CTES)}
+} | {
+    "resolve_go_by_suffix": (
+        lambda t: edges_of(suffix_links(t)),
+        f"{FOREIGN_CTES} SELECT DISTINCT src, path AS dst FROM b JOIN v USING (folder) WHERE src <> path",
+    ),
+    "import_graph": (
+        lambda t: links(t, *LANGUAGES).named(),
+        f"""{CTES} SELECT DISTINCT src, dst, 'file' AS kind FROM direct WHERE src <> dst
+        UNION ALL SELECT DISTINCT src, folder, 'package' FROM go
+        WHERE folder IN (SELECT folder FROM gofiles)""",
+    ),
+    "package_members": (
+        lambda t: links(t, "go").members,
+        f"{CTES} SELECT DISTINCT folder AS package, path FROM gofiles",
+    ),
+    "package_fans": (
+        lambda t: packages.fan_in_out(files(t).distinct(), links(t, *LANGUAGES).stored()),
+        f"{CTES} SELECT path, fan_in, fan_out FROM fan_rows",
+    ),
+    "package_prints": (
+        lambda t: packages.graph_fingerprints(files(t).distinct(), links(t, *LANGUAGES).stored()),
+        f"""{CTES} SELECT path, substr(sha256(concat_ws('|', fan_out, fan_in, coalesce(l0, 0),
+          coalesce(l1, 0), coalesce(l2, 0), coalesce(l3, 0))), 1, 16) AS graph_fingerprint FROM fan_rows""",
+    ),
+    "package_impact": (
+        lambda t: packages.impact_summary(links(t, *LANGUAGES).stored(), priorities(t).distinct()),
+        f"""{CTES} SELECT dst AS path, count(*) AS affected,
+          arg_min(src, row(-priority, src)) AS top_affected, max(priority) AS top_priority
+        FROM x JOIN (SELECT DISTINCT path AS src, {PRIORITY} AS priority FROM f) USING (src) GROUP BY dst""",
+    ),
+    "package_nearest": (
+        lambda t: packages.nearest_edges(links(t, *LANGUAGES).stored(), 3)[1],
+        f"""{CTES} SELECT src, dst FROM x
+        QUALIFY row_number() OVER (PARTITION BY dst ORDER BY src) <= 3""",
+    ),
+}
 
 
 # Source texts made from a part's name and key, and what a reader finds in them. w: the first word

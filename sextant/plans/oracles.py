@@ -267,14 +267,25 @@ CTES: dict[str, str] = {
             ELSE source || CASE WHEN n_chars < 500 THEN '/tests/' ELSE '/es/' END || 'doc_'
               || doc_id || '.rs' END AS path
         FROM documents""",
+    "left_out": """
+        SELECT path FROM source_paths WHERE regexp_matches(path, '\\.min\\.js$')""",
+    "entries": """
+        SELECT path || ':' || sha256(coalesce(content, '')) AS entry FROM texts
+        UNION ALL SELECT path || ':skipped' FROM left_out""",
     "lanes_in": """
         SELECT sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)::HUGEINT) AS l0,
                sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)::HUGEINT) AS l1,
                sum(CAST('0x' || substr(h, 31, 15) AS BIGINT)::HUGEINT) AS l2,
                sum(CAST('0x' || substr(h, 46, 15) AS BIGINT)::HUGEINT) AS l3,
                count(*) AS entries
-        FROM (SELECT sha256(path || ':' || CASE WHEN length(content) > 4000 THEN 'skipped'
-                ELSE sha256(content) END) AS h FROM texts)""",
+        FROM (SELECT sha256(entry) AS h FROM entries)""",
+    "whole_in": """
+        SELECT sum(CAST('0x' || substr(h, 1, 15) AS BIGINT)::HUGEINT) AS l0,
+               sum(CAST('0x' || substr(h, 16, 15) AS BIGINT)::HUGEINT) AS l1,
+               sum(CAST('0x' || substr(h, 31, 15) AS BIGINT)::HUGEINT) AS l2,
+               sum(CAST('0x' || substr(h, 46, 15) AS BIGINT)::HUGEINT) AS l3,
+               count(*) AS entries
+        FROM (SELECT sha256(path || ':' || sha256(coalesce(content, ''))) AS h FROM texts)""",
     "graph_prints": """
         SELECT f.path, substr(sha256(concat_ws('|', f.fan_out, f.fan_in, coalesce(l0, 0),
                  coalesce(l1, 0), coalesce(l2, 0), coalesce(l3, 0))), 1, 16) AS graph_fingerprint

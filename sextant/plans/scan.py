@@ -11,7 +11,7 @@ from sextant.errors import SextantError
 from sextant.functions.digest import content_hash
 from sextant.judge import ANSWERS_TYPE, DEPENDENT_SAMPLE, Judge
 from sextant.operators import cache as C
-from sextant.operators import graph, history, modules, search, tools, tree
+from sextant.operators import history, modules, packages, search, tools, tree
 from sextant.plans.evidence import counts, gather, unit_rows
 from sextant.plans.store import Run, Store, now_text
 from sextant.session import cut_lineage
@@ -67,7 +67,7 @@ def cache_entries(
     return C.pruned(cached, keyed).select(*new.columns).unionByName(new)
 
 
-def stored_map(run_units: DataFrame, edges: DataFrame, write) -> None:
+def stored_map(run_units: DataFrame, edges: DataFrame | packages.Links, write) -> None:
     """Node, relation and leader tables, range-partitioned for the search's look-ups."""
     nodes = tree.with_child_names(tree.node_table(run_units))
     nodes = write("nodes", nodes.repartitionByRange("path").sortWithinPartitions("path"))
@@ -96,13 +96,17 @@ def run_scan(
     skipped = write("skipped", files_.skipped_of(found))
     units = cut_lineage(modules.with_facts(files_.units_of(found)).drop("content"))
     fingerprint = C.repository_fingerprint(units, skipped).first()["fingerprint"]
-    edges = write("edges", graph.distinct_edges(modules.resolve(units, files_.go_module(root))))
+    found_links = modules.resolve(units, files_.go_module(root))
+    links = packages.Links(
+        write("edges", found_links.direct), write("uses", found_links.uses),
+        write("members", found_links.members),
+    )
     instant = F.lit(as_of or started).cast("timestamp")
     commits = gitlog.parse_records(gitlog.read_log(spark, root))
     touched = cut_lineage(history.keep_known(gitlog.touches(commits, instant), units))
     past = cut_lineage(history.file_history(touched))
-    evidence = gather(units, edges, past)
-    prints = graph.graph_fingerprints(units, edges)
+    evidence = gather(units, links, past)
+    prints = packages.graph_fingerprints(units, links)
     keyed = cut_lineage(C.with_answer_keys(evidence, prints, judge.model))
     cached = store.load_cache()
     if force:
@@ -110,12 +114,12 @@ def run_scan(
     contents = (
         found.where(F.col("content").isNotNull())
         .select("path", "content")
-        .join(graph.review_context(edges, DEPENDENT_SAMPLE), "path", "left")
+        .join(packages.review_context(links, DEPENDENT_SAMPLE), "path", "left")
     )
     answered, fresh = judged(keyed, cached, judge, contents, write)
     answered = cut_lineage(answered)
     run_units = write("units", unit_rows(answered))
-    stored_map(run_units, edges, write)
+    stored_map(run_units, links, write)
     usage = C.accounting(answered).first().asDict()
     total = counts(run_units, F.lit(skipped.count())).first().asDict()
     store.save_cache(cache_entries(cached, keyed, fresh, judge.model, started), run_id)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from sextant.judge import ANSWERS_TYPE
 from sextant.operators.cache import NAV_CACHE_LIMIT
 
-RUN_TABLES = ["units", "edges", "skipped", "nodes", "relations", "leaders"]
+RUN_TABLES = ["units", "edges", "uses", "members", "skipped", "nodes", "relations", "leaders"]
 CACHE_SCHEMA = (
     f"key string, hash string, path string, model string, state string, created_at string, "
     f"answers {ANSWERS_TYPE}"

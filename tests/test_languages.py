@@ -9,7 +9,7 @@ from sextant.functions.source_text import (
     script_profile,
     strip_comments,
 )
-from sextant.operators import graph, modules
+from sextant.operators import modules
 
 
 def facts_of(spark, path, content):
@@ -20,14 +20,14 @@ def facts_of(spark, path, content):
 def edges_of(spark, files, go_module=None):
     df = spark.createDataFrame(list(files.items()), "path string, content string")
     units = modules.with_facts(df.withColumn("language", P.language(F.col("path"))))
-    return sorted(tuple(r) for r in graph.distinct_edges(modules.resolve(units, go_module)).collect())
+    return sorted(tuple(r) for r in modules.resolve(units, go_module).written_out().collect())
 
 
 def targets_of(spark, src, spec, known, go_module=None):
     rows = [(src, [spec])] + [(path, []) for path in known if path != src]
     units = spark.createDataFrame(rows, "path string, specifiers array<string>")
     units = units.withColumn("language", P.language(F.col("path")))
-    found = modules.resolve(units, go_module).where(F.col("src") == src)
+    found = modules.resolve(units, go_module).written_out().where(F.col("src") == src)
     return sorted(row["dst"] for row in found.collect())
 
 
