@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +36,39 @@ def new_folder(spark: SparkSession, kind: str) -> str:
     return f"{scratch_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """A column name like ``name`` that is not taken, in any case of letters."""
+    while name.lower() in {t.lower() for t in taken}:
+        name = f"_{name}"
+    return name
+
+
+#: Rows of a file that a row's number has room for.
+ROWS_OF_FILE = 1 << 36
+
+
+def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a column that numbers its rows, the same whenever it is read, and its name.
+
+    A row of a table of files is named by its file and its place in it, so nothing is copied; the
+    list of files is small beside them. Other tables are stored with their numbers.
+    """
+    row, file, first = (free_name(name, docs.columns) for name in ("row", "file", "first"))
+    try:
+        placed = docs.select(
+            "*", F.col("_metadata.row_index").alias(row), F.col("_metadata.file_path").alias(file)
+        )
+    except AnalysisException:  # not a table of files
+        return stored(docs.withColumn(row, F.monotonically_increasing_id())), row
+    paths = sorted(r[0] for r in placed.select(file).distinct().collect())
+    listed = docs.sparkSession.createDataFrame(
+        [(path, at * ROWS_OF_FILE) for at, path in enumerate(paths)] or [("", 0)],
+        f"`{file}` string, `{first}` long",
+    )
+    numbered = placed.join(F.broadcast(listed), file)
+    return numbered.withColumn(row, F.col(row) + F.col(first)).drop(file, first), row
+
+
 def text_or_empty(column: str | Column) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
 

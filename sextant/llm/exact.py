@@ -17,7 +17,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sextant.llm.common import hex_sha256, new_folder, partitions, stored, table, text_or_empty
+from sextant.llm.common import (
+    hex_sha256, new_folder, partitions, stored, table, text_or_empty, with_rows,
+)
 
 #: A digest is hot if it holds more than 1/HOT_SHARE of a batch: fewer than this many can be.
 HOT_SHARE = 1000
@@ -100,11 +102,10 @@ def digest_hex(column: str = "digest"):
 
 def keep_new(docs: DataFrame, index: DigestIndex, doc_id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` whose text is new, one for each text, with all columns of ``docs``."""
-    # The numbers are stored with the rows: numbering a second scan could differ.
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = index.deduplicate(numbered, doc_id, row="__row")
-    stay = found.where("kept").select(F.col("row").alias("__row"))
-    return numbered.join(stay, "__row", "left_semi").select(*docs.columns)
+    numbered, row = with_rows(docs)
+    found = index.deduplicate(numbered, doc_id, row=row)
+    stay = found.where("kept").select(F.col("row").alias(row))
+    return numbered.join(stay, row, "left_semi").select(*docs.columns)
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

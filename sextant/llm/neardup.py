@@ -17,13 +17,12 @@ Only components are asked for, so a bucket of n texts never becomes n^2 pairs:
 2. Each bucket's members are compared with one pivot, each member only with its most similar pivot.
 3. In buckets that still hold several components, members outside the largest are compared with a
    random member of it. A stray shares many buckets, so it meets many members.
-4. What still shares a bucket across components is compared with one member m of the largest, as
-   sets of differences: D(x) is what x has and m lacks, or m has and x lacks. Two texts x and a are
-   similar only if |D(x)| + |D(a)| - 2 |D(x) & D(a)| is small, so if x is not similar to m, then D(x)
-   and D(a) share many elements, and they share one among their first few in a common order (new
-   shingles first). Only such pairs are compared: a group of copies with a few strays stays linear.
-   Members that hardly resemble m are compared with each other directly; by the triangle
-   inequality they cannot be similar to those close to m.
+4. What still shares a bucket across components is compared with one member m of the largest. Those
+   that resemble it are compared by their differences to a consensus of theirs: two texts are similar
+   only if they are close to it or share differences, and then they share one among the rarest of
+   both (``by_differences``). Independent edits of one text have no difference in common, so a group
+   of copies with any number of strays stays linear. What hardly resembles m is far, by the triangle
+   inequality, from what is close to it; such members get a new m, round by round.
 
 Every pair of a bucket is then in one component, or compared, or ruled out. Sets are made only for
 classes that share a bucket, from their texts.
@@ -36,10 +35,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import stored, table, text_or_empty
+from sextant.llm.common import stored, table, text_or_empty, with_rows
 from sextant.llm.graph import connect
 
 REGISTER_BITS = 8
@@ -55,7 +54,11 @@ NEAR, FAR = 0.25, 0.65
 #: Chance that two different minima of equal rates share a register, times 2^mantissa bits.
 COLLISION = 0.1699
 #: Words whose hashes a worker remembers at most.
-MEMO_WORDS = 400_000
+MEMO_WORDS = 100_000
+#: Members that a group's consensus is made of, and those of a part of a group, about.
+CONSENSUS, PART = 63, 500
+#: Rounds in which what is left of a bucket gets a new member to compare with.
+ROUNDS = 4
 
 #: Pipeline stage and library default: five-word shingles, similarity 0.8.
 WORDS = 5
@@ -195,64 +198,131 @@ def plausible(pairs: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
     return estimates(pairs, sketch, percent).where("possible").select("a", "b", "estimate")
 
 
-def difference_rows(
-    x: np.ndarray, m: np.ndarray, percent: int
-) -> tuple[np.ndarray, int, bool]:
-    """The first differences of ``x`` to ``m`` that decide, how many of them count for a partner of
-    a stray, and whether ``x`` is a stray (not similar to ``m``)."""
-    ratio = (100 - percent) / (100 + percent)
-    new = np.setdiff1d(x, m, assume_unique=True)
-    gone = np.setdiff1d(m, x, assume_unique=True)
-    n = len(new) + len(gone)
-    stray = n > ratio * (len(x) + len(m))
+def _consensus(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """m, hashes: what most of up to ``CONSENSUS`` members of each group have. Any set would give
+    the same pairs; the closer it is to all members, the fewer differences there are."""
+    order = Window.partitionBy("m").orderBy(F.xxhash64("node"), "node")
+    some = near.withColumn("at", F.row_number().over(order)).where(F.col("at") <= CONSENSUS)
 
-    def first(overlap: float) -> int:
-        return max(0, n - max(1, int(np.ceil(overlap - 1e-9))) + 1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _column_arrays(batch.column("hashes"), np.int64)
+            m = np.repeat(batch.column("m").to_numpy(zero_copy_only=False), [len(x) for x in found])
+            elements = np.concatenate(found) if found else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(m), pa.array(elements)], ["m", "element"])
 
-    short = first((n - ratio * len(x) + ratio * len(m)) / 2)
-    long = first((n - ratio * len(x) - ratio * len(m)) / 2) if stray else short
-    return np.concatenate([np.sort(new), np.sort(gone)])[: max(short, long)], short, stray
+    elements = some.select("m", "node").join(sets, "node").select("m", "hashes").mapInArrow(
+        run, "m long, element long"
+    )
+    counted = elements.groupBy("m", "element").agg(F.count(F.lit(1)).alias("n"))
+    sizes = stored(some.groupBy("m").agg(F.count(F.lit(1)).alias("members")))
+    common = counted.join(sizes, "m").where(2 * F.col("n") > F.col("members"))
+    heads = common.groupBy("m").agg(F.collect_list("element").alias("common"))
+    return sizes.join(heads, "m", "left").select("m", F.coalesce("common", F.array()).alias("common"))
 
 
-def by_differences(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components whose differences to their m agree; ``near`` has m, node
-    and comp."""
+def differences(near: DataFrame, sets: DataFrame) -> DataFrame:
+    """m, node, comp, element, n, size: what each member has and its group's consensus lacks, or the
+    other way round; ``n`` of them, ``size`` elements in the member. A member without any has one
+    row without an element.
+
+    The consensus goes once to each part of a group, ahead of the members of that part.
+    """
+    heads = _consensus(near, sets)
+    counts = stored(near.groupBy("m").agg((F.count(F.lit(1)) / PART).cast("int").alias("parts")))
+    salted = near.join(counts, "m").withColumn(
+        "part", F.pmod(F.xxhash64("node"), F.col("parts") + 1).cast("int")
+    )
+    members = salted.join(sets, "node").select("m", "part", "node", "comp", "hashes", F.lit(None).cast("array<long>").alias("common"))
+    leads = heads.join(counts, "m").select(
+        "m", F.explode(F.sequence(F.lit(0), "parts")).alias("part"), F.lit(None).cast("long").alias("node"),
+        F.lit(None).cast("long").alias("comp"), F.lit(None).cast("binary").alias("hashes"), "common",
+    )
+    names = ["m", "node", "comp", "element", "n", "size"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = np.empty(0, np.uint64)
         for batch in batches:
-            left = _column_arrays(batch.column("set_node"), np.uint64)
-            right = _column_arrays(batch.column("set_m"), np.uint64)
-            ids = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("m", "node", "comp")]
-            for i, (x, m) in enumerate(zip(left, right, strict=True)):
-                rows, short, stray = difference_rows(x, m, percent)
-                n = len(rows)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        *(pa.array(np.full(n, c[i])) for c in ids), pa.array(rows.view(np.int64)),
-                        pa.array(np.arange(n) < short), pa.array(np.full(n, stray)),
-                        pa.array(np.full(n, len(x))),
-                    ],
-                    ["m", "node", "comp", "element", "short", "stray", "size"],
-                )
+            m, node, comp = (batch.column(c).to_pylist() for c in ("m", "node", "comp"))
+            out: list[list[np.ndarray]] = [[] for _ in names]
+            for i in range(len(batch)):
+                if node[i] is None:
+                    common = np.sort(np.array(batch.column("common")[i].as_py(), np.int64).view(np.uint64))
+                    continue
+                x = np.frombuffer(batch.column("hashes")[i].as_buffer(), np.uint64)
+                found = np.setxor1d(x, common, assume_unique=True)
+                rows = max(1, len(found))
+                element = found.view(np.int64) if len(found) else np.zeros(1, np.int64)
+                for column, value in zip(out, (m[i], node[i], comp[i], element, len(found), len(x)), strict=True):
+                    column.append(np.broadcast_to(np.int64(value) if np.isscalar(value) else value, rows))
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
+
+    ordered = members.unionByName(leads).repartition("m", "part").sortWithinPartitions(
+        "m", "part", F.col("node").isNotNull()
+    )
+    return ordered.mapInArrow(run, ", ".join(f"{name} long" for name in names))
 
-    def side(name: str) -> DataFrame:
-        return sets.select(F.col("node").alias(name), F.col("hashes").alias(f"set_{name}"))
 
-    rows = stored(
-        near.join(side("node"), "node").join(side("m"), "m").mapInArrow(
-            run,
-            "m long, node long, comp long, element long, short boolean, stray boolean, size long",
+def by_differences(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components that may reach ``percent``, by their differences D to
+    their group's consensus; ``near`` has m, node and comp.
+
+    Two sets of sizes s and t reach it if (100 + percent) (|D| + |E| - 2 |D & E|) is at most
+    (100 - percent) (s + t). With e = (100 + percent) |D| - (100 - percent) s, that is
+    2 (100 + percent) |D & E| >= e + f. All members that the one with the least e can take without a
+    common difference are paired with it, and so are in one component. Each further pair has a
+    member, a stray, that has a common difference with the other one, and one among the first of
+    both in order of rising frequency in the group.
+    """
+    rows = stored(differences(near, sets))
+    once = rows.select("m", "node", "comp", "n", "size").distinct()
+    over = F.col("n") * (100 + percent) - F.col("size") * (100 - percent)
+    nodes = stored(once.withColumn("over", over))
+    least = stored(
+        nodes.groupBy("m").agg(
+            F.min("over").alias("least"), F.min_by("node", F.struct("over", "node")).alias("core"),
+            F.min_by("comp", F.struct("over", "node")).alias("comp_core"),
         )
     )
+    placed = nodes.join(least, "m").withColumn("stray", F.col("over") + F.col("least") > 0)
+    placed = stored(placed)
+    direct = placed.where("NOT stray AND comp != comp_core").select(
+        F.col("node").alias("a"), F.col("core").alias("b")
+    )
+    strays = stored(placed.where("stray").groupBy("m").agg(F.min("over").alias("least_stray")))
+    bounded = placed.join(strays, "m")
+
+    def first(with_least: str) -> Column:
+        """Differences that must be looked at: all but those that the overlap may not miss."""
+        overlap = F.ceil((F.col("over") + F.col(with_least)) / (2 * (100 + percent)))
+        return F.col("n") - F.greatest(overlap, F.lit(1)) + 1
+
+    bounds = bounded.select(
+        "m", "node", "comp", "size", "stray", first("least").alias("long"),
+        first("least_stray").alias("short"),
+    )
+    often = stored(rows.where("n > 0").groupBy("m", "element").agg(F.count(F.lit(1)).alias("often")))
+    shared = rows.where("n > 0").select("m", "node", "element").join(often, ["m", "element"])
+    order = Window.partitionBy("m", "node").orderBy("often", "element")
+    ranked = shared.withColumn("at", F.row_number().over(order)).where("often > 1")
+    looked = stored(
+        ranked.join(bounds, ["m", "node"]).where(F.col("at") <= F.greatest("long", "short"))
+    )
 
-    def renamed(part: DataFrame, name: str) -> DataFrame:
+    def side(part: DataFrame, name: str) -> DataFrame:
         return part.select(
             "m", "element", F.col("node").alias(name), F.col("comp").alias(f"comp_{name}"),
-            F.col("size").alias(f"size_{name}"),
+            F.col("size").alias(f"size_{name}"), F.col("stray").alias(f"stray_{name}"),
         )
 
-    pairs = renamed(rows.where("stray"), "a").join(renamed(rows.where("short"), "b"), ["m", "element"])
-    return pairs.where("comp_a != comp_b").where(alike_in_size(percent)).select("a", "b").distinct()
+    pairs = side(looked.where("stray AND at <= long"), "a").join(
+        side(looked.where("at <= short"), "b"), ["m", "element"]
+    )
+    # Two strays are met from both sides; one is enough.
+    once_each = (~F.col("stray_b")) | (F.col("a") < F.col("b"))
+    some = pairs.where("comp_a != comp_b").where(once_each).where(alike_in_size(percent))
+    return some.select("a", "b").distinct().unionByName(direct)
 
 
 def alike_in_size(percent: int) -> Column:
@@ -363,7 +433,7 @@ def near_components(
     sketch = full.withColumnRenamed("row", "node")
     cut = stored(bands(sketch.join(nodes, "node", "left_semi")))
     shared = cut.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n"))
-    member = stored(cut.join(shared.where("n > 1").drop("n"), "key"))
+    member = stored(cut.join(stored(shared.where("n > 1").drop("n")), "key"))
     wanted = member.select("node").distinct()
     labels = stored(wanted.withColumn("comp", F.col("node")))
     sets = stored(sets_of(keyed, sketch.join(wanted, "node").select("node", "text_key"), words))
@@ -380,57 +450,86 @@ def near_components(
 
     def mixed_buckets(labels: DataFrame) -> DataFrame:
         """key, node, comp of the buckets that hold several components."""
-        placed = member.select("key", "node").join(labels, "node")
+        placed = stored(member.select("key", "node").join(labels, "node"))
         several = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-        keys = several.where("lo != hi").select("key")
+        keys = stored(several.where("lo != hi").select("key"))
         return stored(placed.join(keys, "key", "left_semi"))
 
-    open_ = mixed_buckets(labels)
-    by_comp = open_.groupBy("key", "comp").agg(
-        F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("key", "node")).alias("pivot")
-    )
     # The largest component of each bucket; its size and, for ties, its label decide.
     rank = F.col("n").cast("decimal(20,0)") * F.lit(2**62).cast("decimal(19,0)") + F.col("comp")
-    largest = by_comp.groupBy("key").agg(
-        F.max_by("pivot", rank).alias("pivot"), F.max_by("comp", rank).alias("main")
-    )
-    strays = open_.join(largest, "key").where("comp != main")
-    pairs = strays.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+
+    def largest(open_: DataFrame) -> DataFrame:
+        """key, m (a member of the bucket's largest component), main (that component)."""
+        by_comp = open_.groupBy("key", "comp").agg(
+            F.count(F.lit(1)).alias("n"), F.min_by("node", F.xxhash64("key", "node")).alias("pivot")
+        )
+        return stored(
+            by_comp.groupBy("key").agg(
+                F.max_by("pivot", rank).alias("m"), F.max_by("comp", rank).alias("main")
+            )
+        )
+
+    open_ = mixed_buckets(labels)
+    strays = open_.join(largest(open_), "key").where("comp != main")
+    pairs = strays.select(F.col("node").alias("a"), F.col("m").alias("b")).distinct()
     labels = joined(labels, pairs, best=False)
 
     open_ = mixed_buckets(labels)
-    sizes = open_.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
-    # A component's label is a node of it: the member that its group is compared with.
-    main = sizes.groupBy("key").agg(F.max_by("comp", rank).alias("m"))
-    grouped = open_.join(main, "key")
-    members = grouped.select("m", "node", "comp").distinct()
-    to_m = estimates(
-        members.where("node != m").select(F.col("node").alias("a"), F.col("m").alias("b")), sketch, percent
-    )
-    measured = stored(
-        members.where("node != m").join(
-            to_m.select(F.col("a").alias("node"), F.col("b").alias("m"), "estimate", "possible"), ["node", "m"]
-        )
-    )
-    direct = measured.where("possible AND comp != m").select(F.col("node").alias("a"), F.col("m").alias("b"))
-    close = by_differences(measured.where(F.col("estimate") >= NEAR), sets, percent)
-    low = grouped.join(
-        measured.where(F.col("estimate") < FAR).select("m", "node", "estimate"), ["m", "node"]
-    ).join(sketch.select("node", "n_shingles"), "node")
-
-    def end(name: str) -> DataFrame:
-        return low.select(
-            "key", F.col("node").alias(name), F.col("comp").alias(f"comp_{name}"),
-            F.col("estimate").alias(f"to_m_{name}"), F.col("n_shingles").alias(f"size_{name}"),
+    pairs = None
+    for round_ in range(ROUNDS):
+        main = largest(open_)
+        if not round_:
+            # A label is a node of its component: buckets of one component share their member.
+            main = main.withColumn("m", F.col("main"))
+        grouped = stored(open_.join(main, "key").select("key", "m", "node", "comp", "main"))
+        members = stored(grouped.select("m", "main", "node", "comp").distinct())
+        measured = stored(
+            members.where("node != m").join(
+                estimates(
+                    members.where("node != m").select(F.col("node").alias("a"), F.col("m").alias("b")),
+                    sketch, percent,
+                ).select(F.col("a").alias("node"), F.col("b").alias("m"), "estimate", "possible"),
+                ["node", "m"],
+            )
         )
+        direct = measured.where("possible AND comp != main").select(
+            F.col("node").alias("a"), F.col("m").alias("b")
+        )
+        near = measured.where(F.col("estimate") >= NEAR).select("m", "node", "comp")
+        heads = members.select("m", F.col("m").alias("node"), F.col("main").alias("comp")).distinct()
+        close = by_differences(stored(near.unionByName(heads)), sets, percent)
+        found = stored(direct.unionByName(close).distinct())
+        pairs = found if pairs is None else pairs.unionByName(found)
+        # Pairs with a member that hardly resembles m: both are far from it.
+        low = stored(
+            grouped.select("key", "m", "node", "comp").join(
+                measured.where(F.col("estimate") < FAR).select("m", "node", "estimate"), ["m", "node"]
+            )
+        )
+        left = low.groupBy("key").agg(
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("estimate").alias("lowest")
+        )
+        keys = stored(left.where("lo != hi").where(F.col("lowest") < NEAR).select("key"))
+        low = stored(low.join(keys, "key", "left_semi"))
+        if low.isEmpty():
+            break
+        open_ = low.select("key", "node", "comp")
+    else:
+        sized = low.join(sketch.select("node", "n_shingles"), "node")
+
+        def end(name: str) -> DataFrame:
+            return sized.select(
+                "key", F.col("node").alias(name), F.col("comp").alias(f"comp_{name}"),
+                F.col("estimate").alias(f"to_m_{name}"), F.col("n_shingles").alias(f"size_{name}"),
+            )
 
-    apart = end("a").join(end("b"), "key").where(
-        (F.col("comp_a") < F.col("comp_b"))
-        & (F.least("to_m_a", "to_m_b") < NEAR)
-        & alike_in_size(percent)
-    )
-    pairs = direct.unionByName(close).unionByName(apart.select("a", "b")).distinct()
-    labels = joined(labels, pairs, best=False)
+        apart = end("a").join(end("b"), "key").where(
+            (F.col("comp_a") < F.col("comp_b"))
+            & (F.least("to_m_a", "to_m_b") < NEAR)
+            & alike_in_size(percent)
+        )
+        pairs = pairs.unionByName(apart.select("a", "b"))
+    labels = joined(labels, pairs.distinct(), best=False)
 
     placed = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = placed.groupBy("comp").agg(
@@ -448,11 +547,12 @@ def near_components(
 
 
 def keep_distinct(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row of each component, with all columns of ``docs``."""
-    numbered = stored(docs.withColumn("__row", F.monotonically_increasing_id()))
-    found = near_components(numbered, words, percent, row="__row")
-    stay = found.where("kept").select(F.col("row").alias("__row"))
-    return numbered.join(stay, "__row", "left_semi").select(*docs.columns)
+    """One row of each component, with all columns of ``docs``. Nulls, empty texts, repeated rows
+    and ties are decided as in :func:`near_components`; an empty table stays empty."""
+    numbered, row = with_rows(docs)
+    found = near_components(numbered, words, percent, row=row)
+    stay = found.where("kept").select(F.col("row").alias(row))
+    return numbered.join(stay, row, "left_semi").select(*docs.columns)
 
 
 def op6_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:

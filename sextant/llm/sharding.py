@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sextant.llm.common import partitions, stored, table, text_or_empty
+from sextant.llm.common import free_name, partitions, stored, table, text_or_empty, with_rows
 
 SHARDS = 24
 #: Bytes of a record besides those of its text.
@@ -299,8 +299,8 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = 7
     """Write ``docs`` with all their columns to ``path``, a folder for each shard with a column
     that names the slot; files hold consecutive slots. Returns the assignment."""
     spark = docs.sparkSession
-    row, slot = (_free(name, docs.columns) for name in ("row", "slot"))
-    numbered = stored(docs.withColumn(row, F.monotonically_increasing_id()))
+    slot = free_name("slot", docs.columns)
+    numbered, row = with_rows(docs)
     given = stored(assign(numbered, shards, seed, row=row))
     places = given.select(F.col("row").alias(row), F.col("slot").alias(slot), "shard")
     joined = numbered.drop("shard").join(places, row).drop(row)
@@ -311,13 +311,6 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, seed: int = 7
     return given
 
 
-def _free(name: str, taken: list[str]) -> str:
-    """A column name like ``name`` that is not taken."""
-    while name.lower() in {t.lower() for t in taken}:
-        name = f"_{name}"
-    return name
-
-
 def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
