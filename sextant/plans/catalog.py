@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from sextant.functions import digest, text
 from sextant.functions import paths as P
+from sextant.functions.lexer import DECISIONS, decision_count
 from sextant.functions.numeric import half_up, result_limit, usd_text
 from sextant.judge import LexicalJudge
 from sextant.operators import (
     cache, expansion, graph, history, modules, score, search, tools, tree, usage,
 )
-from sextant.plans import evidence, imports
+from sextant.plans import code_texts, evidence, imports
 from sextant.plans.oracles import with_ctes
 from sextant.session import configure, cut_lineage
 from sextant.sources.bindings import MODEL, Tables
@@ -39,7 +40,7 @@ def query(name: str, sql: str | None = None):
     return register
 
 
-for _name, (_plan, _sql) in imports.PLANS.items():
+for _name, (_plan, _sql) in (imports.PLANS | code_texts.PLANS).items():
     query(_name, _sql)(_plan)
 
 
@@ -651,20 +652,6 @@ def symbol_match(t: Tables) -> DataFrame:
     return search.symbol_matches(nodes, INTENT).select("path", "score")
 
 
-# Decision points per language.
-DECISIONS = {
-    "go": (r"if|for|case|select", r"&&|\|\|"),
-    "rust": (r"if|match|for|while|loop", r"&&|\|\||\?"),
-    "python": (r"if|elif|for|while|except|and|or", None),
-}
-
-
-def decision_count(content: Column, lang: str) -> Column:
-    words, marks = DECISIONS[lang]
-    pattern = rf"(?<![A-Za-z0-9_])(?:{words})(?![A-Za-z0-9_])"
-    return F.regexp_count(content, F.lit(pattern if marks is None else f"{pattern}|{marks}"))
-
-
 def _decision_sql(lang: str) -> str:
     words, marks = DECISIONS[lang]
     pattern = rf"\b(?:{words})\b" if marks is None else rf"\b(?:{words})\b|{marks}"

@@ -243,7 +243,7 @@ def facts(t: Tables, language: str) -> DataFrame:
     units = named.selectExpr(
         "k", f"{TEXTS[language][0]} AS content", f"'{language}' AS language"
     )
-    return modules.with_facts(units).select(
+    return modules.with_modules(units).select(
         "k", F.array_join("specifiers", ",").alias("specifiers"),
         F.array_join("exports", ",").alias("exports"),
     )

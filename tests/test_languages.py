@@ -3,12 +3,7 @@ import time
 from pyspark.sql import functions as F
 
 from sextant.functions import paths as P
-from sextant.functions.source_text import (
-    brace_profile,
-    indent_profile,
-    script_profile,
-    strip_comments,
-)
+from sextant.functions.source_text import script_profile
 from sextant.operators import modules
 
 
@@ -97,33 +92,6 @@ def test_edges_of_each_language(spark):
     assert targets_of(spark, "web/x.ts", "ink", ["web/ink.ts"]) == []
 
 
-def test_python_profile():
-    source = """
-@mark
-def outer(sheets):
-    for s in sheets:
-        if s and s.dry:
-            def inner():
-                while s.wet:
-                    pass
-            inner()
-    return 1
-if True:
-    x = "if while for"  # if
-"""
-    # outer: for, if, and; inner: while; the file: if.
-    assert indent_profile(source) == (2, 8, 4, 3, 8)
-    assert indent_profile("") == (0, 1, 1, 0, 0)
-
-
-def test_brace_profiles():
-    go = "package p\nfunc A(n int) int {\n\tfor n > 0 {\n\t\tif n > 3 && ok {\n\t\t\tn--\n\t\t}\n\t}\n\treturn n\n}\n"
-    assert brace_profile(go, "go") == (1, 5, 4, 1, 8)
-    rust = "impl X {\n  fn a(&self) -> u8 {\n    match self.b()? {\n      _ => 1,\n    }\n  }\n  fn c() {}\n}\n} // stray\n"
-    assert brace_profile(rust, "rust") == (2, 5, 3, 2, 5)
-    assert brace_profile("fn open() { if a {", "rust")[0] == 1
-
-
 def test_script_profile():
     source = "function f(a) {\n  if (a && a.b) {\n    for (const x of a) g(x);\n  }\n}\nconst h = () => (1 ? 2 : 3);\n"
     assert script_profile(source)[0] == 2 and script_profile(source)[4] == 5
@@ -136,8 +104,3 @@ def test_long_comments_take_linear_time(spark):
         start = time.perf_counter()
         facts_of(spark, path, blank)
         assert time.perf_counter() - start < 20  # quadratic patterns took minutes
-
-
-def test_strip_comments_keeps_lines():
-    source = "a = 1 # one\nb = '# no'\n"
-    assert strip_comments(source, "python").splitlines() == ["a = 1      ", "b = '# no'"]
