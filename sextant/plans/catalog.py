@@ -15,7 +15,7 @@ from sextant.judge import LexicalJudge
 from sextant.operators import (
     cache, expansion, graph, history, modules, score, search, tools, tree, usage,
 )
-from sextant.plans import code_texts, evidence, imports
+from sextant.plans import code_texts, evidence, imports, objectives
 from sextant.plans.oracles import with_ctes
 from sextant.session import configure, cut_lineage
 from sextant.sources.bindings import MODEL, Tables
@@ -848,6 +848,11 @@ def expand_root(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(rows, CANDIDATE)
 
 
+query("symbol_lookup", objectives.LOOKUP_SQL)(objectives.symbol_lookup)
+query("symbol_tokens", objectives.TOKENS_SQL)(objectives.symbol_tokens)
+query("search_all")(objectives.searched(ready_map))
+
+
 OPPORTUNITY = (
     "path string, relevance double, relevance_confidence double, priority double, "
     "drivers array<string>, confidence double, trail array<struct<from:string,chosen:string,"
