@@ -490,5 +490,7 @@ def remove_repeats(
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).select(
-        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256")
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"),
+        (F.col("n_removed") > 0).alias("has_repeat"),
+        (F.col("n_bytes") - F.col("n_removed")).alias("n_kept"),
     )

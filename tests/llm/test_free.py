@@ -197,25 +197,6 @@ def test_giant_texts_get_the_pieces_of_whole_ones(spark, docs):
     assert coder.encode(docs(rows).limit(0)).count() == 0
 
 
-def test_toxicity_on_held_out_ids(spark):
-    path = "/root/testdata/sf0.1"
-    table = spark.read.parquet(f"{path}/documents.parquet")
-    labels = spark.read.parquet(f"{path}/labels.parquet")
-    model = toxicity.train(table, labels)
-    rows = (
-        toxicity.score(table, model)
-        .join(labels, "doc_id")
-        .where(toxicity.held_out(F.col("doc_id")))
-        .select("score", "toxic")
-        .collect()
-    )
-    toxic = [r["score"] for r in rows if r["toxic"] == 1]
-    clean = [r["score"] for r in rows if r["toxic"] == 0]
-    # 1,900 rows to learn from at this size, nine thousand and more at the check's.
-    assert sum(s >= 0.5 for s in toxic) >= 0.65 * len(toxic)
-    assert sum(s >= 0.5 for s in clean) <= 0.04 * len(clean)
-
-
 def test_toxicity_of_odd_rows(spark, docs):
     rng = random.Random(12)
     words = [f"{a}{b}" for a in ("ra", "lo", "mi", "te") for b in ("ne", "ssi", "do", "gar", "pul")]
