@@ -57,8 +57,9 @@ COLLISION = 0.1699
 MEMO_WORDS = 100_000
 #: Members that a group's consensus is made of, and those of a part of a group, about.
 CONSENSUS, PART = 63, 500
-#: Rounds in which what is left of a bucket gets a new member to compare with.
-ROUNDS = 4
+#: Rounds in which what is left of a bucket gets a new member to compare with, and the members of
+#: a bucket that are paired at once.
+ROUNDS, FEW = 4, 8
 
 #: Pipeline stage and library default: five-word shingles, similarity 0.8.
 WORDS = 5
@@ -215,7 +216,7 @@ def _consensus(near: DataFrame, sets: DataFrame) -> DataFrame:
         run, "m long, element long"
     )
     counted = elements.groupBy("m", "element").agg(F.count(F.lit(1)).alias("n"))
-    sizes = stored(some.groupBy("m").agg(F.count(F.lit(1)).alias("members")))
+    sizes = some.groupBy("m").agg(F.count(F.lit(1)).alias("members"))
     common = counted.join(sizes, "m").where(2 * F.col("n") > F.col("members"))
     heads = common.groupBy("m").agg(F.collect_list("element").alias("common"))
     return sizes.join(heads, "m", "left").select("m", F.coalesce("common", F.array()).alias("common"))
@@ -229,7 +230,7 @@ def differences(near: DataFrame, sets: DataFrame) -> DataFrame:
     The consensus goes once to each part of a group, ahead of the members of that part.
     """
     heads = _consensus(near, sets)
-    counts = stored(near.groupBy("m").agg((F.count(F.lit(1)) / PART).cast("int").alias("parts")))
+    counts = near.groupBy("m").agg((F.count(F.lit(1)) / PART).cast("int").alias("parts"))
     salted = near.join(counts, "m").withColumn(
         "part", F.pmod(F.xxhash64("node"), F.col("parts") + 1).cast("int")
     )
@@ -279,18 +280,15 @@ def by_differences(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     once = rows.select("m", "node", "comp", "n", "size").distinct()
     over = F.col("n") * (100 + percent) - F.col("size") * (100 - percent)
     nodes = stored(once.withColumn("over", over))
-    least = stored(
-        nodes.groupBy("m").agg(
-            F.min("over").alias("least"), F.min_by("node", F.struct("over", "node")).alias("core"),
-            F.min_by("comp", F.struct("over", "node")).alias("comp_core"),
-        )
+    least = nodes.groupBy("m").agg(
+        F.min("over").alias("least"), F.min_by("node", F.struct("over", "node")).alias("core"),
+        F.min_by("comp", F.struct("over", "node")).alias("comp_core"),
     )
-    placed = nodes.join(least, "m").withColumn("stray", F.col("over") + F.col("least") > 0)
-    placed = stored(placed)
+    placed = stored(nodes.join(least, "m").withColumn("stray", F.col("over") + F.col("least") > 0))
     direct = placed.where("NOT stray AND comp != comp_core").select(
         F.col("node").alias("a"), F.col("core").alias("b")
     )
-    strays = stored(placed.where("stray").groupBy("m").agg(F.min("over").alias("least_stray")))
+    strays = placed.where("stray").groupBy("m").agg(F.min("over").alias("least_stray"))
     bounded = placed.join(strays, "m")
 
     def first(with_least: str) -> Column:
@@ -474,6 +472,23 @@ def near_components(
     pairs = strays.select(F.col("node").alias("a"), F.col("m").alias("b")).distinct()
     labels = joined(labels, pairs, best=False)
 
+    def apart(low: DataFrame) -> DataFrame:
+        """All pairs of a bucket's members of which one hardly resembles m."""
+        sized = low.join(sketch.select("node", "n_shingles"), "node")
+
+        def end(name: str) -> DataFrame:
+            return sized.select(
+                "key", F.col("node").alias(name), F.col("comp").alias(f"comp_{name}"),
+                F.col("estimate").alias(f"to_m_{name}"), F.col("n_shingles").alias(f"size_{name}"),
+            )
+
+        some = end("a").join(end("b"), "key").where(
+            (F.col("comp_a") < F.col("comp_b"))
+            & (F.least("to_m_a", "to_m_b") < NEAR)
+            & alike_in_size(percent)
+        )
+        return some.select("a", "b")
+
     open_ = mixed_buckets(labels)
     pairs = None
     for round_ in range(ROUNDS):
@@ -500,35 +515,21 @@ def near_components(
         close = by_differences(stored(near.unionByName(heads)), sets, percent)
         found = stored(direct.unionByName(close).distinct())
         pairs = found if pairs is None else pairs.unionByName(found)
-        # Pairs with a member that hardly resembles m: both are far from it.
-        low = stored(
-            grouped.select("key", "m", "node", "comp").join(
-                measured.where(F.col("estimate") < FAR).select("m", "node", "estimate"), ["m", "node"]
-            )
-        )
+        # Pairs with a member that hardly resembles m: both are far from it. The few members of a
+        # small bucket are paired at once, larger ones go on to another m.
+        far = measured.where(F.col("estimate") < FAR).select("m", "node", "estimate")
+        low = stored(grouped.select("key", "m", "node", "comp").join(far, ["m", "node"]))
         left = low.groupBy("key").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("estimate").alias("lowest")
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("estimate").alias("lowest"),
+            F.count(F.lit(1)).alias("members"),
         )
-        keys = stored(left.where("lo != hi").where(F.col("lowest") < NEAR).select("key"))
-        low = stored(low.join(keys, "key", "left_semi"))
-        if low.isEmpty():
+        keys = left.where("lo != hi").where(F.col("lowest") < NEAR).select("key", "members")
+        low = stored(low.join(keys, "key"))
+        last = round_ == ROUNDS - 1
+        pairs = pairs.unionByName(apart(low if last else low.where(F.col("members") <= FEW)))
+        open_ = low.where(F.col("members") > FEW).select("key", "node", "comp")
+        if open_.isEmpty():
             break
-        open_ = low.select("key", "node", "comp")
-    else:
-        sized = low.join(sketch.select("node", "n_shingles"), "node")
-
-        def end(name: str) -> DataFrame:
-            return sized.select(
-                "key", F.col("node").alias(name), F.col("comp").alias(f"comp_{name}"),
-                F.col("estimate").alias(f"to_m_{name}"), F.col("n_shingles").alias(f"size_{name}"),
-            )
-
-        apart = end("a").join(end("b"), "key").where(
-            (F.col("comp_a") < F.col("comp_b"))
-            & (F.least("to_m_a", "to_m_b") < NEAR)
-            & alike_in_size(percent)
-        )
-        pairs = pairs.unionByName(apart.select("a", "b"))
     labels = joined(labels, pairs.distinct(), best=False)
 
     placed = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
