@@ -907,19 +907,29 @@ def usage_totals(t: Tables) -> DataFrame:
 
 @query(
     "economics",
-    """SELECT 0 AS cold_input_tokens, 0 AS warm_input_tokens,
-         sum(input_tokens)::BIGINT AS query_input_tokens,
-         sum(input_tokens)::BIGINT AS total_input_tokens,
-         floor(avg(input_tokens) * 1e6 + 0.5) / 1e6 AS query_mean_tokens,
-         median(input_tokens)::DOUBLE AS query_median_tokens, 0.0 AS warm_cache_hit_rate,
-         floor((sum(input_tokens) / 1e6 * 0.042) * 1e6 + 0.5) / 1e6 AS total_cost_usd
-       FROM ledger""",
+    """SELECT cold_in AS cold_input_tokens, warm_in AS warm_input_tokens, query_in AS query_input_tokens,
+         cold_in + warm_in + query_in AS total_input_tokens,
+         floor(mean * 1e6 + 0.5) / 1e6 AS query_mean_tokens, middle AS query_median_tokens,
+         floor(CASE WHEN tried > 0 THEN cached / tried ELSE 0 END * 1e6 + 0.5) / 1e6 AS warm_cache_hit_rate,
+         floor(((cold_in + warm_in + query_in) / 1e6 * 0.042) * 1e6 + 0.5) / 1e6 AS total_cost_usd
+       FROM (
+         SELECT coalesce(sum(input_tokens) FILTER (at = 1), 0)::BIGINT AS cold_in,
+           coalesce(sum(input_tokens) FILTER (at = 2), 0)::BIGINT AS warm_in,
+           coalesce(sum(input_tokens) FILTER (at > 2), 0)::BIGINT AS query_in,
+           coalesce(avg(input_tokens) FILTER (at > 2), 0) AS mean,
+           coalesce(median(input_tokens) FILTER (at > 2), 0)::DOUBLE AS middle,
+           coalesce(sum(cached) FILTER (at = 2), 0)::DOUBLE AS cached,
+           coalesce(sum(calls + cached) FILTER (at = 2), 0)::DOUBLE AS tried
+         FROM (SELECT *, row_number() OVER (PARTITION BY regexp_extract(id, '^run_(.*)_', 1), model
+           ORDER BY started_at, id) AS "at" FROM ledger))""".replace("(at ", '("at" '),
 )
 def economics(t: Tables) -> DataFrame:
-    summary = usage.economics(t.ledger(), None, None)
+    user = F.regexp_extract("id", "^run_(.*)_", 1)
+    summary = usage.ledger_economics(cut_lineage(t.ledger()).withColumn("user", user))
     return summary.withColumns(
         {
             "query_mean_tokens": micro(F.col("query_mean_tokens")),
+            "warm_cache_hit_rate": micro(F.col("warm_cache_hit_rate")),
             "total_cost_usd": micro(F.col("total_cost_usd")),
         }
     )
