@@ -13,9 +13,9 @@ from sextant.functions.lexer import DECISIONS, decision_count
 from sextant.functions.numeric import half_up, result_limit, usd_text
 from sextant.judge import LexicalJudge
 from sextant.operators import (
-    cache, expansion, graph, history, modules, score, search, tools, tree, usage,
+    cache, expansion, graph, history, modules, ordering, score, search, tools, tree, usage,
 )
-from sextant.plans import code_texts, evidence, imports, objectives
+from sextant.plans import code_texts, evidence, imports, logs, objectives
 from sextant.plans.oracles import with_ctes
 from sextant.session import configure, cut_lineage
 from sextant.sources.bindings import MODEL, Tables
@@ -64,13 +64,8 @@ def scan(t: Tables) -> DataFrame:
 
 
 def slim_scan(t: Tables) -> DataFrame:
-    """Run units where couplings are not asked for: history is the commit counters only."""
-    none = {
-        "authors": F.lit(0), "recent_authors": F.lit(0), "primary_author_share": F.lit(0.0),
-        "sum_coupling": F.lit(0), "couplings": F.array().cast(history.COUPLINGS_TYPE),
-    }
-    churn = cut_lineage(t.churn()).withColumns(none)
-    return evidence.scan_units(t.units(), t.edges(), churn, LexicalJudge())
+    """Run units for one reader: not stored, whole evidence."""
+    return evidence.scan_units(t.units(), t.edges(), past(t), LexicalJudge())
 
 
 def slim_nodes(t: Tables) -> DataFrame:
@@ -111,6 +106,27 @@ def limits(t: Tables) -> DataFrame:
     return scope_sizes(t).withColumn("result_limit", result_limit(F.col("units")))
 
 
+IN_SCOPE = "Brand#1"
+
+
+@query("units_in_scope", f"SELECT path, kind FROM units WHERE starts_with(path, '{IN_SCOPE}/')")
+def units_in_scope(t: Tables) -> DataFrame:
+    """Units of one area: a longer name that begins like it is another area."""
+    return tools.units_in_scope(t.units(), IN_SCOPE).select("path", "kind")
+
+
+@query(
+    "units_in_order",
+    """SELECT path, skipped, row_number() OVER (ORDER BY skipped, path) AS position
+       FROM (SELECT path, false AS skipped FROM units UNION ALL SELECT path, true FROM left_out)""",
+)
+def units_in_order(t: Tables) -> DataFrame:
+    return ordering.units_in_order(t.units(), left_out(t))
+
+
+query("log_commits", logs.COMMITS_SQL)(logs.log_commits)
+query("log_churn", logs.CHURN_SQL)(logs.log_churn)
+
 SCRIPT_TESTS = "\\.(test|spec)\\.[cm]?[jt]sx?$"
 
 
