@@ -22,7 +22,8 @@ HEADLINE = [
     "node_table", "hotspots_by_area", "lookahead_descendants", "change_impact", "safe_lanes",
     "answer_keys", "cache_misses", "doc_units", "repo_fingerprint", "identifier_tokens",
     "decision_counts", "page_refs", "page_tree", "usage_rows", "economics",
-    "expand_all", "search_opportunities",
+    "expand_all", "search_opportunities", "package_fans", "package_impact", "complexity_python",
+    "complexity_go", "symbol_lookup",
 ]
 
 
