@@ -43,24 +43,31 @@ def free_name(name: str, taken: list[str]) -> str:
     return name
 
 
-#: Rows of a file that a row's number has room for.
-ROWS_OF_FILE = 1 << 36
+#: Rows of a file that a row's number has room for, and files whose names are sent to all tasks.
+ROWS_OF_FILE, MOST_FILES = 1 << 36, 100_000
 
 
 def with_rows(docs: DataFrame) -> tuple[DataFrame, str]:
     """``docs`` with a column that numbers its rows, the same whenever it is read, and its name.
 
     A row of a table of files is named by its file and its place in it, so nothing is copied; the
-    list of files is small beside them. Other tables are stored with their numbers.
+    names of up to ``MOST_FILES`` files are sent to all tasks. Other tables are stored with their
+    numbers.
     """
+
+    def copied() -> tuple[DataFrame, str]:
+        return stored(docs.withColumn(row, F.monotonically_increasing_id())), row
+
     row, file, first = (free_name(name, docs.columns) for name in ("row", "file", "first"))
     try:
         placed = docs.select(
             "*", F.col("_metadata.row_index").alias(row), F.col("_metadata.file_path").alias(file)
         )
     except AnalysisException:  # not a table of files
-        return stored(docs.withColumn(row, F.monotonically_increasing_id())), row
-    paths = sorted(r[0] for r in placed.select(file).distinct().collect())
+        return copied()
+    paths = sorted(r[0] for r in placed.select(file).distinct().limit(MOST_FILES + 1).collect())
+    if len(paths) > MOST_FILES:
+        return copied()
     listed = docs.sparkSession.createDataFrame(
         [(path, at * ROWS_OF_FILE) for at, path in enumerate(paths)] or [("", 0)],
         f"`{file}` string, `{first}` long",
