@@ -142,7 +142,7 @@ def candidates(
     caps = dict.fromkeys(STRATEGIES, options.max_related) | {
         "descend": options.max_descend, "symbols": options.max_symbols
     }
-    rows = known.withColumn("taken", F.lit(False))
+    rows = known.withColumns({"taken": F.lit(False), "picked": F.lit(False)})
     of_path = Window.partitionBy("objective", "path")
     for strategy in STRATEGIES:
         # A path that a strategy offers twice (a child within reach) counts once.
@@ -154,7 +154,7 @@ def candidates(
             .withColumn("first", F.col("open") & (F.row_number().over(once) == 1))
             .withColumn("at", F.row_number().over(order))
             .withColumn("pick", F.col("first") & (F.col("at") <= caps[strategy]))
-            .withColumn("picked", F.col("pick") | F.col("picked") if "picked" in rows.columns else F.col("pick"))
+            .withColumn("picked", F.col("picked") | F.col("pick"))
             .withColumn("taken", F.max("picked").over(of_path))
         )
     return rows.where("picked").select("objective", "area", "path", "strategy", "relation")
