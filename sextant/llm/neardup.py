@@ -22,7 +22,8 @@ Only components are asked for, so a bucket of n texts never becomes n^2 pairs:
    only if they are close to it or share differences, and then they share one among the rarest of
    both (``by_differences``). Independent edits of one text have no difference in common, so a group
    of copies with any number of strays stays linear. What hardly resembles m is far, by the triangle
-   inequality, from what is close to it; such members get a new m, round by round.
+   inequality, from what is close to it; such members get a new m, round by round, until the pairs
+   that are left in all buckets are no more than the classes: those are compared directly.
 
 Every pair of a bucket is then in one component, or compared, or ruled out. Sets are made only for
 classes that share a bucket, from their texts.
@@ -57,8 +58,8 @@ COLLISION = 0.1699
 MEMO_WORDS = 100_000
 #: Members that a group's consensus is made of, and those of a part of a group, about.
 CONSENSUS, PART = 63, 500
-#: Rounds in which what is left of a bucket gets a new member to compare with, and the members of
-#: a bucket that are paired at once.
+#: Rounds, at most, in which what is left of a bucket gets a new member to compare with, and the
+#: members of a bucket that are paired at once.
 ROUNDS, FEW = 4, 8
 
 #: Pipeline stage and library default: five-word shingles, similarity 0.8.
@@ -223,9 +224,9 @@ def _consensus(near: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def differences(near: DataFrame, sets: DataFrame) -> DataFrame:
-    """m, node, comp, element, n, size: what each member has and its group's consensus lacks, or the
-    other way round; ``n`` of them, ``size`` elements in the member. A member without any has one
-    row without an element.
+    """m, node, comp, element, n, size, head: what each member has and its group's consensus lacks,
+    or the other way round; ``n`` of them, ``size`` elements in the member. A member without any has
+    one row without an element. ``head`` marks one row of each member.
 
     The consensus goes once to each part of a group, ahead of the members of that part.
     """
@@ -257,12 +258,14 @@ def differences(near: DataFrame, sets: DataFrame) -> DataFrame:
                 for column, value in zip(out, (m[i], node[i], comp[i], element, len(found), len(x)), strict=True):
                     column.append(np.broadcast_to(np.int64(value) if np.isscalar(value) else value, rows))
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], names)
+                head = np.concatenate([np.arange(len(x)) == 0 for x in out[0]])
+                columns = [np.concatenate(c) for c in out] + [head]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], [*names, "head"])
 
     ordered = members.unionByName(leads).repartition("m", "part").sortWithinPartitions(
         "m", "part", F.col("node").isNotNull()
     )
-    return ordered.mapInArrow(run, ", ".join(f"{name} long" for name in names))
+    return ordered.mapInArrow(run, ", ".join(f"{name} long" for name in names) + ", head boolean")
 
 
 def by_differences(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -277,9 +280,8 @@ def by_differences(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     both in order of rising frequency in the group.
     """
     rows = stored(differences(near, sets))
-    once = rows.select("m", "node", "comp", "n", "size").distinct()
     over = F.col("n") * (100 + percent) - F.col("size") * (100 - percent)
-    nodes = stored(once.withColumn("over", over))
+    nodes = rows.where("head").select("m", "node", "comp", "n", "size", over.alias("over"))
     least = nodes.groupBy("m").agg(
         F.min("over").alias("least"), F.min_by("node", F.struct("over", "node")).alias("core"),
         F.min_by("comp", F.struct("over", "node")).alias("comp_core"),
@@ -490,7 +492,7 @@ def near_components(
         return some.select("a", "b")
 
     open_ = mixed_buckets(labels)
-    pairs = None
+    pairs, texts = None, labels.count()
     for round_ in range(ROUNDS):
         main = largest(open_)
         if not round_:
@@ -516,7 +518,8 @@ def near_components(
         found = stored(direct.unionByName(close).distinct())
         pairs = found if pairs is None else pairs.unionByName(found)
         # Pairs with a member that hardly resembles m: both are far from it. The few members of a
-        # small bucket are paired at once, larger ones go on to another m.
+        # small bucket are paired at once, larger ones go on to another m, unless all their pairs
+        # are no more than the classes.
         far = measured.where(F.col("estimate") < FAR).select("m", "node", "estimate")
         low = stored(grouped.select("key", "m", "node", "comp").join(far, ["m", "node"]))
         left = low.groupBy("key").agg(
@@ -525,11 +528,13 @@ def near_components(
         )
         keys = left.where("lo != hi").where(F.col("lowest") < NEAR).select("key", "members")
         low = stored(low.join(keys, "key"))
-        last = round_ == ROUNDS - 1
+        wide = low.where(F.col("members") > FEW)
+        twice = wide.agg(F.sum("members")).first()[0] or 0
+        last = round_ == ROUNDS - 1 or twice <= 2 * texts
         pairs = pairs.unionByName(apart(low if last else low.where(F.col("members") <= FEW)))
-        open_ = low.where(F.col("members") > FEW).select("key", "node", "comp")
-        if open_.isEmpty():
+        if last:
             break
+        open_ = wide.select("key", "node", "comp")
     labels = joined(labels, pairs.distinct(), best=False)
 
     placed = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
