@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 
 from sextant.functions import paths as P
 from sextant.operators import graph, modules, packages
+from sextant.plans.catalog import QUERIES
+from sextant.session import join_in_blocks
 
 
 @pytest.fixture(scope="module")
@@ -134,3 +136,43 @@ def test_script_suffixes_in_order(spark):
     for spec, paths, want in cases:
         got, _ = resolved(spark, [("w/main.ts", "typescript", spec)], paths)
         assert [d for _, d in got] == want, (spec, paths)
+
+
+def test_blocks_of_a_join(spark):
+    left = spark.createDataFrame([("a" if i % 5 else "b", i) for i in range(60)], "k string, l int")
+    right = spark.createDataFrame([("a" if i % 3 else "c", i % 20) for i in range(40)], "k string, r int")
+    found = join_in_blocks(left, right, "k", block=7)
+    want = [(a["k"], a["l"], b["r"]) for a in left.collect() for b in right.collect() if a["k"] == b["k"]]
+    assert sorted(tuple(r) for r in found.collect()) == sorted(want)
+    groups = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(groups) > 1  # one key's rows, in several tasks
+
+
+@pytest.mark.parametrize("name", ["resolve_go"])
+def test_registered_graphs_have_every_edge_of_a_wide_folder(spark, tmp_path, name):
+    """Keys far apart share a folder: a user of the folder has an edge to each of its files."""
+    sizes = {k: 1 + k // 600 % 5 for k in range(1, 3000, 99)} | {k: 1 for k in (2, 602, 1202, 2402)}
+    parts = [(k, size) for k, size in sizes.items()]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    keys = [k for k in sizes if k <= len(sizes)]
+    lines = [(1, s, n, u) for s in keys for n in range(1, 8) for u in range(5)]
+    spark.createDataFrame(
+        lines, "l_orderkey long, l_partkey long, l_linenumber int, l_suppkey long"
+    ).write.parquet(f"{tmp_path}/lineitem.parquet")
+    go = {}
+    for k, size in sizes.items():
+        if k % 4 == 2:
+            made = [f"f{k}{'_test' if k % 3 == 0 else ''}.go"] + ([f"g{k}.go"] if k % 7 == 0 else [])
+            go.setdefault(f"d{size % 5}", []).extend(f"go/d{size % 5}/{f}" for f in made)
+    want = set()
+    for _, s, n, u in lines:
+        t = (s - 1 + 4 * (n * 7 + u % 5)) % len(sizes) + 1
+        if s % 4 == 2 and t in sizes:
+            src = f"go/d{sizes[s] % 5}/f{s}{'_test' if s % 3 == 0 else ''}.go"
+            members = [p for p in go.get(f"d{sizes[t] % 5}", []) if not p.endswith("_test.go")]
+            want |= {(src, p) for p in members if p != src}
+    found = QUERIES[name](spark, str(tmp_path))
+    assert found.columns == ["src", "dst"]
+    got = [tuple(r) for r in found.collect() if r["src"].startswith("go/")]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert want
