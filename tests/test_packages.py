@@ -148,7 +148,7 @@ def test_blocks_of_a_join(spark):
     assert len(groups) > 1  # one key's rows, in several tasks
 
 
-@pytest.mark.parametrize("name", ["resolve_go"])
+@pytest.mark.parametrize("name", ["resolve_go", "import_graph"])
 def test_registered_graphs_have_every_edge_of_a_wide_folder(spark, tmp_path, name):
     """Keys far apart share a folder: a user of the folder has an edge to each of its files."""
     sizes = {k: 1 + k // 600 % 5 for k in range(1, 3000, 99)} | {k: 1 for k in (2, 602, 1202, 2402)}
