@@ -6,7 +6,7 @@ import random
 import pytest
 from fixtures import edges_of, map_of, run_of, unit
 
-from sextant.functions.words import _pair, matched, query_words, symbol_words, words
+from sextant.functions.words import _pair, locale_key, matched, query_words, symbol_words, words
 from sextant.judge import LexicalJudge
 from sextant.operators import search, symbols, tools, tree, walk
 from sextant.operators.search import SearchOptions
@@ -119,3 +119,79 @@ def test_relations_of_a_map_of_packages(spark):
         for e in (links, links.written_out())
     ]
     assert both[0] == both[1] and both[0]
+
+
+def made_symbols(spark):
+    """Units and objectives of few words, some of them twice."""
+    rng = random.Random(4)
+    words = ["cach", "cache", "cached", "loader", "load", "prune", "part", "partial", "none"]
+    exports = [[rng.choice(words) + "_" + rng.choice(words) for _ in range(rng.randrange(3))] for _ in range(50)]
+    rows = [(f"s/{rng.choice(words)}/f{i}.ts", f"f{i}.ts", e, "unit") for i, e in enumerate(exports)]
+    rows += [rows[0], (*rows[1][:2], ["prune_load"], "unit"), ("s", "s", [], "area"), ("s/x", "x", None, "unit")]
+    nodes = spark.createDataFrame(rows, "path string, name string, exports array<string>, kind string")
+    intents = [(i, " ".join(rng.choices(words, k=rng.randrange(4)))) for i in range(30)]
+    intents += [intents[3], (4, "cached part"), (90, None)]
+    return symbols.with_terms(spark.createDataFrame(intents, "objective int, intent string")), nodes
+
+
+def test_symbol_scores_of_repeated_rows(spark):
+    asked, nodes = made_symbols(spark)
+    units = [r for r in nodes.collect() if r["kind"] == "unit"]
+    rows, tokens, terms = asked.collect(), {}, {}
+    for unit_ in units:
+        if unit_["exports"] is not None:
+            tokens.setdefault(unit_["path"], set()).update(symbol_words(unit_["path"], unit_["exports"]))
+    for row in rows:
+        terms.setdefault(row["objective"], set()).update(row["terms"])
+    want = []
+    for row in rows:
+        for unit_ in units:
+            score = matched(sorted(terms[row["objective"]]), sorted(tokens.get(unit_["path"], [])))
+            if score:
+                best, label = 0, unit_["name"]
+                for symbol in unit_["exports"]:
+                    n = sum(any(_pair(t, w) for w in words(symbol)) for t in row["terms"])
+                    if n > best:
+                        best, label = n, symbol
+                want.append((row["objective"], unit_["path"], score, label))
+    got = [tuple(r) for r in symbols.symbol_scores(asked, nodes).collect()]
+    assert sorted(got) == sorted(want) and want
+
+
+def test_the_best_symbols_lead_the_scores(spark):
+    asked, nodes = made_symbols(spark)
+    scores = {}
+    for r in symbols.symbol_scores(asked, nodes).collect():
+        scores.setdefault(r["objective"], []).append((-r["score"], r["path"]))
+    want = [
+        (o, slot, path) for o, found in scores.items()
+        for slot, (_, path) in enumerate(sorted(found, key=lambda f: (f[0], locale_key(f[1])))[:4], 1)
+    ]
+    got = [(r["objective"], r["slot"], r["path"]) for r in symbols.best_symbols(asked, nodes, 4).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_equal_rows_are_scored_once(spark):
+    """Pairs are made of classes: neither the units of a class nor its objectives multiply them."""
+    nodes = spark.range(300).selectExpr(
+        "concat('a/f', id, '.ts') AS path", "concat('f', id, '.ts') AS name", "array('load_page') AS exports",
+        "'unit' AS kind",
+    )
+    asked = symbols.with_terms(spark.range(40).selectExpr("id AS objective", "concat('loading x', id) AS intent"))
+    found = symbols.matches(asked, nodes)
+    assert found.pairs.count() == 1
+    assert symbols.symbol_scores(asked, nodes).count() == 300 * 40
+
+
+def test_term_counts_without_a_broadcast(spark):
+    asked, nodes = made_symbols(spark)
+    index = symbols.token_index(nodes)
+    pairs = [(r["token"], r["path"]) for r in index.collect()]
+    want = set()
+    for term in {t for r in asked.collect() for t in r["terms"]}:
+        met = [(w, path) for w, path in pairs if _pair(term, w)]
+        if met:
+            want.add((term, len({w for w, _ in met}), len({p for _, p in met})))
+    assert {tuple(r) for r in symbols.term_counts(asked, index).select("term", "tokens", "units").collect()} == want
+    plan = symbols.term_tokens(asked, index)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan
