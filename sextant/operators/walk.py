@@ -20,7 +20,7 @@ from sextant.functions import paths as P
 from sextant.functions.numeric import clamp01, percent_label
 from sextant.functions.text import match_count, symbol_terms
 from sextant.operators.search import RETRIEVAL_FLOOR, STRATEGIES, SearchMap, SearchOptions
-from sextant.operators.symbols import symbol_scores, with_terms
+from sextant.operators.symbols import best_symbols, with_terms
 from sextant.operators.tree import by_priority
 from sextant.session import cut_lineage
 
@@ -94,10 +94,7 @@ def offers(map_: SearchMap, objectives: DataFrame, options: SearchOptions) -> Of
     related = first_of(
         map_.relations, ["path", "strategy"], [F.col("place"), F.col("target")], enough
     )
-    symbols = first_of(
-        symbol_scores(objectives, nodes), ["objective"],
-        [F.desc("score"), F.asc(P.in_locale_order(F.col("path")))], picked + 1,
-    )
+    symbols = best_symbols(objectives, nodes, picked + 1)
     return Offers(
         cut_lineage(near.select("area", "path", "slot", relation.alias("relation"))),
         cut_lineage(
@@ -105,7 +102,7 @@ def offers(map_: SearchMap, objectives: DataFrame, options: SearchOptions) -> Of
                 F.col("path").alias("anchor"), "strategy", F.col("target").alias("path"), "slot", "strength"
             )
         ),
-        cut_lineage(symbols.select("objective", "path", "slot", "label")),
+        cut_lineage(symbols),
     )
 
 
