@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sextant.functions.lexer import BLOCK_STARTS, FUNCTION_STARTS, code_of, decision_count
+from sextant.session import cut_lineage
 
 COUNTERS = ["functions", "total_cyclomatic", "max_cyclomatic", "max_nesting", "max_function_lines"]
 PLACE = ["line", "at"]
@@ -93,14 +94,15 @@ def brace_complexity(files: DataFrame, language: str) -> DataFrame:
     )
     braces = F.regexp_extract_all("text", F.lit("[{}]"), 0)
     events = lines.select(
-        "path", "line", "start", "decisions",
+        "path", "line", "start", "starts", "decisions",
         F.posexplode(F.concat(F.array(F.lit("")), braces)).alias("at", "brace"),
     )
     step = F.when(F.col("brace") == "{", 1).when(F.col("brace") == "}", -1).otherwise(0)
     total = F.sum("step").over(_so_far(*PLACE))
     floor = F.least(F.min("total").over(_before(*PLACE)), F.lit(0))
     opened = F.max(F.when(F.col("step") == 1, F.col("line"))).over(_before(*PLACE))
-    leveled = (
+    # Stored: moves, marks and starts are three readers of it.
+    leveled = cut_lineage(
         events.withColumn("step", step).withColumn("total", total).withColumns(
             {"floor": F.coalesce(floor, F.lit(0)), "opened": F.coalesce(opened, F.lit(-1))}
         )
@@ -109,6 +111,7 @@ def brace_complexity(files: DataFrame, language: str) -> DataFrame:
         .withColumn("blocks", F.col("total") - F.least("floor", "total"))
         .withColumn("level", F.col("blocks") + F.when(F.col("step") == -1, 1).otherwise(0))
         .withColumn("fn", (F.col("step") == 1) & F.coalesce(F.col("start") > F.col("opened"), F.lit(False)))
+        .select("path", "line", "at", "starts", "decisions", "step", "level", "fn")
     )
     # Rows of a level: an opening brace, then the brace that closes it, and so on; between them lie
     # only lines.
@@ -135,7 +138,7 @@ def brace_complexity(files: DataFrame, language: str) -> DataFrame:
         "path", F.struct("line", "at").alias("owner"), F.col("level").alias("nesting"),
         (F.col("closed") - F.col("line") + 1).alias("lines"),
     )
-    starts = lines.groupBy("path").agg(F.count_if("starts").alias("functions"))
+    starts = leveled.where("at = 0").groupBy("path").agg(F.count_if("starts").alias("functions"))
     of_lines = owned.where("mark").select("path", "owner", "decisions", F.lit(0).alias("nesting"))
     return _counted(files, starts, of_lines, scopes)
 
@@ -150,17 +153,22 @@ def indent_complexity(files: DataFrame) -> DataFrame:
     blocks, those not below its own. A file with n such levels has lines with up to n blanks, so
     levels grow with the root of a text's length at most.
     """
-    raw = lines_of(files, "python").where(F.col("text").rlike(r"\S")).withColumn("indent", _indent())
+    # Stored: scopes, marks and starts are three readers of it.
+    raw = cut_lineage(
+        lines_of(files, "python").where(F.col("text").rlike(r"\S")).select(
+            "path", "line", "starts", "decisions", _indent().alias("indent"),
+            (~F.col("starts") & F.col("text").rlike(BLOCK_STARTS)).alias("blocks"),
+        )
+    )
     filled = raw.withColumns(
         {
-            "blocks": ~F.col("starts") & F.col("text").rlike(BLOCK_STARTS),
             "ended": F.lag("line").over(_of_file("line")),
             "last": F.max("line").over(Window.partitionBy("path")),
         }
     )
     head = F.col("starts") | F.col("blocks")
     levels = F.collect_set(F.when(head, F.col("indent"))).over(Window.partitionBy("path"))
-    lines = filled.drop("text").withColumn("levels", levels)
+    lines = filled.withColumn("levels", levels)
     ends = lines.withColumn(
         "level", F.explode(F.filter("levels", lambda v: v >= F.col("indent")))
     )

@@ -17,7 +17,7 @@ from sextant.operators import (
 )
 from sextant.plans import code_texts, evidence, imports, logs, objectives
 from sextant.plans.oracles import with_ctes
-from sextant.session import configure, cut_lineage
+from sextant.session import bound_tasks, configure, cut_lineage
 from sextant.sources.bindings import MODEL, Tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,7 +32,9 @@ def query(name: str, sql: str | None = None):
     """Register a query under ``name``; ``sql`` may use the shared CTEs."""
 
     def register(plan: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
-        QUERIES[name] = lambda spark, directory: plan(Tables(configure(spark), directory))
+        QUERIES[name] = lambda spark, directory: plan(
+            Tables(bound_tasks(configure(spark)), directory)
+        )
         if sql is not None:
             ORACLES[name] = with_ctes(sql)
         return plan
