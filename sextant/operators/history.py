@@ -81,9 +81,9 @@ def keep_known(touches: DataFrame, units: DataFrame) -> DataFrame:
     return touches.join(units.select("path"), "path", "left_semi")
 
 
-def churn(touches: DataFrame) -> DataFrame:
-    """Commit counters per file. Bots count here."""
-    return touches.groupBy("path").agg(
+def churn(touches: DataFrame, *also: str) -> DataFrame:
+    """Commit counters per file, and what ``also`` is the same for all of its rows. Bots count here."""
+    return touches.groupBy("path", *also).agg(
         F.count(F.lit(1)).alias("commits"),
         F.count_if("recent").alias("recent_commits"),
         F.count_if("bugfix").alias("bug_fix_commits"),
@@ -116,31 +116,35 @@ def authorship(tally: DataFrame) -> DataFrame:
     )
 
 
-def changesets(touches: DataFrame, max_changeset: int = MAX_CHANGESET) -> DataFrame:
-    """Sorted file list of every commit with 2 to ``max_changeset`` files.
+def changesets(
+    touches: DataFrame, max_changeset: int = MAX_CHANGESET, key: str = "path"
+) -> DataFrame:
+    """Sorted file list of every commit with 2 to ``max_changeset`` files, by ``key``.
 
     A commit is only told apart from an oversized one, so at most ``max_changeset + 1`` rows of
     it are needed. The row-number filter becomes a group limit ahead of the exchange: a commit
     that holds a third of all rows still sends a handful of rows per map task.
     """
-    order = Window.partitionBy("commit_id").orderBy("path")
+    order = Window.partitionBy("commit_id").orderBy(key)
     return (
-        touches.select("commit_id", "path")
+        touches.select("commit_id", key)
         .withColumn("at", F.row_number().over(order))
         .where(F.col("at") <= max_changeset + 1)
         .groupBy("commit_id")
-        .agg(F.array_sort(F.collect_list("path")).alias("paths"))
+        .agg(F.array_sort(F.collect_list(key)).alias("paths"))
         .where(F.size("paths").between(2, max_changeset))
     )
 
 
-def co_change_pairs(touches: DataFrame, max_changeset: int = MAX_CHANGESET) -> DataFrame:
-    """Number of commits per file pair ``a < b``.
+def co_change_pairs(
+    touches: DataFrame, max_changeset: int = MAX_CHANGESET, key: str = "path"
+) -> DataFrame:
+    """Number of commits per file pair ``a < b``, files named by ``key``.
 
     Pairs come from the bounded per-commit array by two explodes, without a self-join, and are
     counted on the map side before the exchange.
     """
-    firsts = changesets(touches, max_changeset).select(
+    firsts = changesets(touches, max_changeset, key).select(
         "paths", F.posexplode("paths").alias("at", "a")
     )
     later = F.slice("paths", F.col("at") + 2, F.size("paths"))
@@ -151,17 +155,27 @@ def co_change_pairs(touches: DataFrame, max_changeset: int = MAX_CHANGESET) -> D
     )
 
 
-def couplings(pairs: DataFrame, churn_: DataFrame, min_co_changes: int = MIN_CO_CHANGES) -> DataFrame:
-    """Pairs above the threshold with their strength; the joins see only those."""
-    counts = churn_.select("path", "commits")
-    left = counts.select(F.col("path").alias("a"), F.col("commits").alias("commits_a"))
-    right = counts.select(F.col("path").alias("b"), F.col("commits").alias("commits_b"))
+def couplings(
+    pairs: DataFrame, churn_: DataFrame, min_co_changes: int = MIN_CO_CHANGES, key: str = "path"
+) -> DataFrame:
+    """Pairs above the threshold with their strength; the joins see only those.
+
+    ``key`` is what names the files of ``pairs``, a column of ``churn_``; the result has paths.
+    """
+
+    def side(end: str) -> DataFrame:
+        return churn_.select(
+            F.col(key).alias(end), F.col("path").alias(f"path_{end}"),
+            F.col("commits").alias(f"commits_{end}"),
+        )
+
     return (
         pairs.where(F.col("co_changes") >= min_co_changes)
-        .join(left, "a")
-        .join(right, "b")
+        .join(side("a"), "a")
+        .join(side("b"), "b")
         .select(
-            "a", "b", "co_changes",
+            F.least("path_a", "path_b").alias("a"), F.greatest("path_a", "path_b").alias("b"),
+            "co_changes",
             (F.col("co_changes") / F.least("commits_a", "commits_b")).alias("strength"),
         )
     )
@@ -225,11 +239,14 @@ def file_history(
     """All history columns of every touched file.
 
     ``touches`` is read three times; callers pass a stored table. The pairs above the threshold
-    feed both the counts and the strongest partners, so they are stored too.
+    feed both the counts and the strongest partners, so they are stored too. Where ``touches`` has
+    ``path_id``, a number for each path, pairs are counted by it: most are dropped before their
+    paths are needed.
     """
-    counters = churn(touches)
+    key = "path_id" if "path_id" in touches.columns else "path"
+    counters = churn(touches, *({key} - {"path"}))
     linked = cut_lineage(
-        couplings(co_change_pairs(touches, max_changeset), counters, min_co_changes)
+        couplings(co_change_pairs(touches, max_changeset, key), counters, min_co_changes, key)
     )
     return (
         counters.join(authorship(author_tally(touches)), "path", "left")

@@ -201,9 +201,10 @@ def cochange_guarded(t: Tables) -> DataFrame:
 
 
 def linked(t: Tables) -> DataFrame:
-    touched = cut_lineage(t.file_touches())
-    counts = touched.groupBy("path").agg(F.count(F.lit(1)).alias("commits"))
-    return history.couplings(history.co_change_pairs(touched), counts, min_co_changes=2)
+    touched = cut_lineage(t.file_touches(t.numbered_keys()))
+    counts = touched.groupBy("path", "path_id").agg(F.count(F.lit(1)).alias("commits"))
+    pairs = history.co_change_pairs(touched, key="path_id")
+    return history.couplings(pairs, counts, min_co_changes=2, key="path_id")
 
 
 @query("coupling_strength", "SELECT * FROM couplings")

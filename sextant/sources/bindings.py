@@ -62,6 +62,14 @@ class Tables:
             F.col("p_partkey").alias("unit_id"), self.unit_path().alias("path")
         )
 
+    def numbered_keys(self) -> DataFrame:
+        """``unit_keys`` with ``path_id``, one number for each path."""
+        keys = self.unit_keys()
+        paths = keys.select("path").distinct()
+        return keys.join(
+            cut_lineage(paths.withColumn("path_id", F.monotonically_increasing_id())), "path"
+        )
+
     def as_of(self) -> Column:
         """The latest commit's instant, as a scalar subquery."""
         return self.read("orders").agg(F.max("o_orderdate").cast("timestamp")).scalar()
@@ -90,7 +98,7 @@ class Tables:
         )
         return with_moment(raw, self.as_of())
 
-    def touches(self) -> DataFrame:
+    def touches(self, keys: DataFrame | None = None) -> DataFrame:
         """Commit and file, once each, with the commit's flags.
 
         The exchanges are left to the joins: only those can be split at run time when one
@@ -104,16 +112,17 @@ class Tables:
         flags = self.commits().select(
             "commit_id", "author", "date_rank", "recent", "bot", "bugfix", "revert"
         )
-        return lines.join(flags, "commit_id").join(self.unit_keys(), "unit_id").drop("unit_id")
+        keys = self.unit_keys() if keys is None else keys
+        return lines.join(flags, "commit_id").join(keys, "unit_id").drop("unit_id")
 
-    def file_touches(self) -> DataFrame:
+    def file_touches(self, keys: DataFrame | None = None) -> DataFrame:
         """Commit and file only, for co-change."""
         lines = (
             self.read("lineitem")
             .select(F.col("l_orderkey").alias("commit_id"), F.col("l_partkey").alias("unit_id"))
             .distinct()
         )
-        return lines.join(self.unit_keys(), "unit_id").drop("unit_id")
+        return lines.join(self.unit_keys() if keys is None else keys, "unit_id").drop("unit_id")
 
     def import_statements(self) -> DataFrame:
         """A line's part names the part numbered like its supplier."""
@@ -137,7 +146,8 @@ class Tables:
         return churn_of(self.touches())
 
     def history(self, max_changeset: int = MAX_CHANGESET, min_co_changes: int = 2) -> DataFrame:
-        return file_history(cut_lineage(self.touches()), max_changeset, min_co_changes)
+        touched = cut_lineage(self.touches(self.numbered_keys()))
+        return file_history(touched, max_changeset, min_co_changes)
 
     def texts(self) -> DataFrame:
         """Source texts: one per document."""
