@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sextant.operators.search import STRATEGIES, SearchOptions, neighbourhood
+from sextant.operators.search import STRATEGIES, SearchOptions, neighbourhood, of_anchors
 
 RELATED = STRATEGIES[2:]
 
@@ -24,14 +24,12 @@ def expand_all(
     """
     enough = options.max_descend + len(RELATED) * options.max_related
     tops = Window.partitionBy("path", "strategy").orderBy("place", "target")
+    anchors, related = of_anchors(nodes, relations)
     nearest = (
-        relations.withColumn("at", F.row_number().over(tops))
+        related.withColumn("at", F.row_number().over(tops))
         .where(F.col("at") <= enough)
         .select(F.col("path").alias("hot"), "strategy", F.col("target").alias("path"), "place")
     )
-    anchors = nodes.where((F.col("kind") == "area") & F.col("hot").isNotNull()).select(
-        F.col("path").alias("area"), "hot"
-    )
     offered = anchors.join(nearest, "hot").select("area", "path", "strategy", "place")
     picked = neighbourhood(nodes, options).select(
         "area", "path", F.lit("descend").alias("strategy"), "slot"

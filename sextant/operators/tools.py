@@ -15,6 +15,7 @@ from sextant.functions import paths as P
 from sextant.functions.numeric import percent_label
 from sextant.operators.packages import Links
 from sextant.operators.tree import NO_DRIVER, areas_of, by_priority, leading_units
+from sextant.session import cut_lineage
 
 # List lengths.
 MAX_CANDIDATES = 40
@@ -188,9 +189,10 @@ def lane_conflicts(members: DataFrame, edges: DataFrame | Links) -> DataFrame:
     )
     listed = pairs.select(F.col("first").alias("src"), F.col("second").alias("dst")).distinct()
     either = listed.unionByName(listed.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    # The pairs of all work lists are few next to the edges: stored, they are planned by their size.
     known = (
         edges.among(either) if isinstance(edges, Links)
-        else either.join(edges, ["src", "dst"], "left_semi")
+        else edges.join(cut_lineage(either), ["src", "dst"], "left_semi")
     )
     imported = known.select(
         F.least("src", "dst").alias("low"), F.greatest("src", "dst").alias("high"),

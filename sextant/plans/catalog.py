@@ -59,10 +59,16 @@ def past(t: Tables) -> DataFrame:
     return cut_lineage(t.history())
 
 
-def scan(t: Tables) -> DataFrame:
+def scan(t: Tables, edges: DataFrame | None = None) -> DataFrame:
     """Run units, stored as a run is: the tools read them more than once."""
-    history_ = past(t)
-    return cut_lineage(evidence.scan_units(t.units(), t.edges(), history_, LexicalJudge()))
+    history_, edges = past(t), t.edges() if edges is None else edges
+    return cut_lineage(evidence.scan_units(t.units(), edges, history_, LexicalJudge()))
+
+
+def scan_and_edges(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """Run units and the import graph, both stored: the scan and its tools read the same edges."""
+    found = cut_lineage(t.edges())
+    return scan(t, found), found
 
 
 def slim_scan(t: Tables) -> DataFrame:
@@ -524,13 +530,14 @@ def list_coupling(t: Tables) -> DataFrame:
 
 @query("change_impact", "SELECT path, affected, priority, relation FROM impact")
 def change_impact(t: Tables) -> DataFrame:
-    run = scan(t)
-    return tools.impact_rows(t.edges(), tools.coupling_rows(run), run)
+    run, found = scan_and_edges(t)
+    return tools.impact_rows(found, tools.coupling_rows(run), run)
 
 
 @query("lane_conflicts", "SELECT area, first_at, second_at, first, second FROM conflicts")
 def lane_conflicts(t: Tables) -> DataFrame:
-    return tools.lane_conflicts(cut_lineage(tools.work_members(scan(t))), t.edges())
+    run, found = scan_and_edges(t)
+    return tools.lane_conflicts(cut_lineage(tools.work_members(run)), found)
 
 
 @query(
@@ -552,7 +559,8 @@ def lane_conflicts(t: Tables) -> DataFrame:
        SELECT area, lane, position, path, priority FROM placed WHERE position > 0""",
 )
 def safe_lanes(t: Tables) -> DataFrame:
-    return tools.safe_lanes(cut_lineage(tools.work_members(scan(t))), t.edges())
+    run, found = scan_and_edges(t)
+    return tools.safe_lanes(cut_lineage(tools.work_members(run)), found)
 
 
 # --- texts, hashes, fingerprints ------------------------------------------------------------------
@@ -784,9 +792,9 @@ def lookahead_descendants(t: Tables) -> DataFrame:
 
 def search_map(t: Tables) -> search.SearchMap:
     """The search's tables, stored as a run stores them."""
-    run = scan(t)
+    run, found = scan_and_edges(t)
     nodes = cut_lineage(tree.node_table(run))
-    relations = search.relation_table(nodes, t.edges(), tools.coupling_rows(run))
+    relations = search.relation_table(nodes, found, tools.coupling_rows(run))
     return search.SearchMap(nodes, relations, search.area_leaders(nodes))
 
 
