@@ -33,7 +33,7 @@ def query(name: str, sql: str | None = None):
 
     def register(plan: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
         QUERIES[name] = lambda spark, directory: plan(
-            Tables(bound_tasks(configure(spark)), directory)
+            Tables(bound_tasks(configure(spark), directory), directory)
         )
         if sql is not None:
             ORACLES[name] = with_ctes(sql)
@@ -207,10 +207,12 @@ def cochange_guarded(t: Tables) -> DataFrame:
 
 
 def linked(t: Tables) -> DataFrame:
-    touched = cut_lineage(t.file_touches(t.numbered_keys()))
-    counts = touched.groupBy("path", "path_id").agg(F.count(F.lit(1)).alias("commits"))
+    numbers = t.path_numbers()
+    touched = cut_lineage(t.file_touches(t.numbered_keys(numbers).drop("path")))
+    counts = touched.groupBy("path_id").agg(F.count(F.lit(1)).alias("commits"))
     pairs = history.co_change_pairs(touched, key="path_id")
-    return history.couplings(pairs, counts, min_co_changes=2, key="path_id")
+    named = cut_lineage(counts.join(numbers, "path_id"))
+    return history.couplings(pairs, named, min_co_changes=2, key="path_id")
 
 
 @query("coupling_strength", "SELECT * FROM couplings")

@@ -62,13 +62,14 @@ class Tables:
             F.col("p_partkey").alias("unit_id"), self.unit_path().alias("path")
         )
 
-    def numbered_keys(self) -> DataFrame:
+    def path_numbers(self) -> DataFrame:
+        """Every path once with ``path_id``, a number; stored."""
+        paths = self.unit_keys().select("path").distinct()
+        return cut_lineage(paths.withColumn("path_id", F.monotonically_increasing_id()))
+
+    def numbered_keys(self, numbers: DataFrame | None = None) -> DataFrame:
         """``unit_keys`` with ``path_id``, one number for each path."""
-        keys = self.unit_keys()
-        paths = keys.select("path").distinct()
-        return keys.join(
-            cut_lineage(paths.withColumn("path_id", F.monotonically_increasing_id())), "path"
-        )
+        return self.unit_keys().join(self.path_numbers() if numbers is None else numbers, "path")
 
     def as_of(self) -> Column:
         """The latest commit's instant, as a scalar subquery."""
