@@ -81,9 +81,9 @@ def keep_known(touches: DataFrame, units: DataFrame) -> DataFrame:
     return touches.join(units.select("path"), "path", "left_semi")
 
 
-def churn(touches: DataFrame, *also: str) -> DataFrame:
-    """Commit counters per file, and what ``also`` is the same for all of its rows. Bots count here."""
-    return touches.groupBy("path", *also).agg(
+def churn(touches: DataFrame, key: str = "path") -> DataFrame:
+    """Commit counters per file, files named by ``key``. Bots count here."""
+    return touches.groupBy(key).agg(
         F.count(F.lit(1)).alias("commits"),
         F.count_if("recent").alias("recent_commits"),
         F.count_if("bugfix").alias("bug_fix_commits"),
@@ -93,10 +93,10 @@ def churn(touches: DataFrame, *also: str) -> DataFrame:
     )
 
 
-def author_tally(touches: DataFrame) -> DataFrame:
+def author_tally(touches: DataFrame, key: str = "path") -> DataFrame:
     return (
         touches.where(~F.col("bot"))
-        .groupBy("path", "author")
+        .groupBy(key, "author")
         .agg(
             F.count(F.lit(1)).alias("all_commits"),
             F.count_if("recent").alias("recent_commits"),
@@ -104,10 +104,10 @@ def author_tally(touches: DataFrame) -> DataFrame:
     )
 
 
-def authorship(tally: DataFrame) -> DataFrame:
+def authorship(tally: DataFrame, key: str = "path") -> DataFrame:
     """Distinct authors and the leading author's share of the recent commits."""
     total = F.sum("recent_commits")
-    return tally.groupBy("path").agg(
+    return tally.groupBy(key).agg(
         F.count(F.lit(1)).alias("authors"),
         F.count_if(F.col("recent_commits") > 0).alias("recent_authors"),
         F.when(total > 0, F.max("recent_commits") / total)
@@ -235,21 +235,23 @@ def file_history(
     max_changeset: int = MAX_CHANGESET,
     min_co_changes: int = MIN_CO_CHANGES,
     top: int = TOP_COUPLINGS,
+    paths: DataFrame | None = None,
 ) -> DataFrame:
     """All history columns of every touched file.
 
     ``touches`` is read three times; callers pass a stored table. The pairs above the threshold
-    feed both the counts and the strongest partners, so they are stored too. Where ``touches`` has
-    ``path_id``, a number for each path, pairs are counted by it: most are dropped before their
-    paths are needed.
+    feed both the counts and the strongest partners, and the counters of the files are looked up
+    for both ends of a pair, so these are stored too. With ``paths`` (``path_id, path``, each once)
+    files of ``touches`` are named by ``path_id`` alone, and only what is left of them by paths.
     """
-    key = "path_id" if "path_id" in touches.columns else "path"
-    counters = churn(touches, *({key} - {"path"}))
+    key = "path" if paths is None else "path_id"
+    counted = churn(touches, key)
+    counters = cut_lineage(counted if paths is None else counted.join(paths, key))
     linked = cut_lineage(
         couplings(co_change_pairs(touches, max_changeset, key), counters, min_co_changes, key)
     )
     return (
-        counters.join(authorship(author_tally(touches)), "path", "left")
+        counters.join(authorship(author_tally(touches, key), key), key, "left")
         .join(coupling_counts(linked), "path", "left")
         .join(coupling_lists(top_couplings(linked, top)), "path", "left")
         .select(

@@ -113,8 +113,10 @@ class Tables:
         flags = self.commits().select(
             "commit_id", "author", "date_rank", "recent", "bot", "bugfix", "revert"
         )
-        keys = self.unit_keys() if keys is None else keys
-        return lines.join(flags, "commit_id").join(keys, "unit_id").drop("unit_id")
+        if keys is None:
+            return lines.join(flags, "commit_id").join(self.unit_keys(), "unit_id").drop("unit_id")
+        # Numbers of files are narrower than the flags, so they go through the first of the joins.
+        return lines.join(keys, "unit_id").drop("unit_id").join(flags, "commit_id")
 
     def file_touches(self, keys: DataFrame | None = None) -> DataFrame:
         """Commit and file only, for co-change."""
@@ -147,8 +149,9 @@ class Tables:
         return churn_of(self.touches())
 
     def history(self, max_changeset: int = MAX_CHANGESET, min_co_changes: int = 2) -> DataFrame:
-        touched = cut_lineage(self.touches(self.numbered_keys()))
-        return file_history(touched, max_changeset, min_co_changes)
+        numbers = self.path_numbers()
+        touched = cut_lineage(self.touches(self.numbered_keys(numbers).drop("path")))
+        return file_history(touched, max_changeset, min_co_changes, paths=numbers)
 
     def texts(self) -> DataFrame:
         """Source texts: one per document."""
