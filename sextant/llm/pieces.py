@@ -41,9 +41,10 @@ LITERAL = "\udfff"
 SCALE = 1 << 16
 NONE = -(1 << 62)
 #: Runs whose pieces a worker remembers at most, and the longest run it remembers.
-MEMO_RUNS, MEMO_LENGTH = 200_000, 64
-#: So many new runs and more are segmented together; characters of texts that are encoded at a time.
-TOGETHER, CHARACTERS = 1_000, 1 << 21
+MEMO_RUNS, MEMO_LENGTH = 100_000, 64
+#: So many new runs and more are segmented together; characters of texts that are encoded at a time,
+#: which bound a worker's memory.
+TOGETHER, CHARACTERS = 1_000, 1 << 20
 
 
 def load_vocabulary(path: str = MODEL) -> list[tuple[str, float, str]]:
@@ -386,6 +387,18 @@ def decoded(surfaces: list[bytes], ids) -> str:
     return b"".join([surfaces[i] for i in ids])[1:].decode()
 
 
+def parts_of(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """Start and end of the texts that are encoded at a time."""
+    start = 0
+    while start < len(texts):
+        end, size = start, 0
+        while end < len(texts) and (end == start or size + len(texts[end]) <= CHARACTERS):
+            size += len(texts[end])
+            end += 1
+        yield start, end
+        start = end
+
+
 def prepared(text: str, first: bool) -> str:
     """The text as the vocabulary sees it: spaces as their mark, one more at the very start."""
     marked = text.replace(SPACE, LITERAL).replace(" ", SPACE)
@@ -452,19 +465,13 @@ class Pieces:
             lattice = get()
             for batch in batches:
                 texts = [t or "" for t in batch.column(text).to_pylist()]
-                start = 0
-                while start < len(texts):
-                    end, size = start, 0
-                    while end < len(texts) and size < CHARACTERS:
-                        size += len(texts[end])
-                        end += 1
+                for start, end in parts_of(texts):
                     found = lattice.encode_all(texts[start:end])
                     part = batch.slice(start, end - start)
                     yield pa.RecordBatch.from_arrays(
                         [*part.columns, pa.array(found, pa.list_(pa.int32()))],
                         [*part.schema.names, ids],
                     )
-                    start = end
 
         small = docs.where(~giant).mapInArrow(run, schema)
         numbered = stored(docs.where(giant).withColumn("__row", F.monotonically_increasing_id()))
@@ -559,15 +566,18 @@ class Pieces:
             lattice = get()
             for batch in batches:
                 leave = batch.column("leave").to_pylist()
-                lattice.prepare_chunks([ready(batch, i)[0] for i in range(len(batch))])
-                found = [
-                    lattice.traced(*ready(batch, i), entry_of(batch, i), leave[i])
-                    for i in range(len(batch))
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("row"), batch.column("c"), pa.array(found, pa.list_(pa.int32()))],
-                    ["row", "c", "ids"],
-                )
+                texts = [ready(batch, i) for i in range(len(batch))]
+                for start, end in parts_of([text for text, _ in texts]):
+                    lattice.prepare_chunks([text for text, _ in texts[start:end]])
+                    found = [
+                        lattice.traced(*texts[i], entry_of(batch, i), leave[i])
+                        for i in range(start, end)
+                    ]
+                    part = batch.slice(start, end - start)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("row"), part.column("c"), pa.array(found, pa.list_(pa.int32()))],
+                        ["row", "c", "ids"],
+                    )
 
         parts = placed.join(left, ["row", "c"]).mapInArrow(backtrace, "row long, c int, ids array<int>")
         gathered = parts.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("c", "ids"))).alias("x"))

@@ -181,6 +181,15 @@ def test_pieces_match_the_library_on_a_unigram_model(spark):
     assert other < 0.05 * len(lines)
 
 
+def test_texts_encoded_at_a_time_are_bounded():
+    texts = ["x" * 300_000] * 11 + ["", "y" * 3_000_000, "z"]
+    parts = list(pieces.parts_of(texts))
+    assert [i for start, end in parts for i in range(start, end)] == list(range(len(texts)))
+    sizes = [sum(map(len, texts[start:end])) for start, end in parts]
+    assert all(size <= 1 << 20 or end == start + 1 for size, (start, end) in zip(sizes, parts, strict=True))
+    assert list(pieces.parts_of([])) == []
+
+
 def test_giant_texts_get_the_pieces_of_whole_ones(spark, docs):
     rng = random.Random(6)
     words = ["hello", "thought", "é漢", "x▁y", "the", "\n"]
