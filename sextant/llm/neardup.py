@@ -23,7 +23,7 @@ Only components are asked for, so a bucket of n texts never becomes n^2 pairs:
    both (``by_differences``). Independent edits of one text have no difference in common, so a group
    of copies with any number of strays stays linear. What hardly resembles m is far, by the triangle
    inequality, from what is close to it; such members get a new m, round by round, until the pairs
-   that are left in all buckets are no more than the classes: those are compared directly.
+   that are left in all buckets are no more than a few for each class: those are compared directly.
 
 Every pair of a bucket is then in one component, or compared, or ruled out. Sets are made only for
 classes that share a bucket, from their texts.
@@ -61,6 +61,12 @@ CONSENSUS, PART = 63, 500
 #: Rounds, at most, in which what is left of a bucket gets a new member to compare with, and the
 #: members of a bucket that are paired at once.
 ROUNDS, FEW = 4, 8
+#: Pairs left in all buckets, for each class that shares one, that are compared directly: a class has
+#: met more than that in its first buckets.
+PAIRS = 8
+
+#: Places of the bits that tell texts whose sets are surely not wanted, 4 MB in all.
+PLACES = 1 << 25
 
 #: Pipeline stage and library default: five-word shingles, similarity 0.8.
 WORDS = 5
@@ -380,6 +386,25 @@ def bands(sketch: DataFrame) -> DataFrame:
     return sketch.select("node", "registers").mapInArrow(run, "key long, node long")
 
 
+def perhaps_wanted(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``texts`` (text_key, text) without most of those whose key is not in ``wanted``, so that only
+    few texts are shuffled for sets that nobody asks for.
+
+    Every wanted key sets one of ``PLACES`` bits, which are sent to all tasks: 4 MB at most, whatever
+    the tables hold. Other keys pass by chance; the caller's join leaves them out.
+    """
+    place = F.pmod(F.xxhash64("text_key"), F.lit(PLACES)) + 1
+    bits = (
+        wanted.groupBy(F.bitmap_bucket_number(place).alias("bucket"))
+        .agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    )
+    at = F.bitmap_bit_position(place)
+    octet = F.conv(F.hex(F.substring("bits", (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("long")
+    hit = F.getbit(octet, (at % 8).cast("int")) == 1
+    placed = texts.withColumn("bucket", F.bitmap_bucket_number(place))
+    return placed.join(F.broadcast(bits), "bucket").where(hit).select("text_key", "text")
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
     """node, hashes: the full sets of the wanted nodes (node, text_key), from their texts."""
 
@@ -393,7 +418,8 @@ def sets_of(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 [batch.column("node"), pa.array(found, pa.binary())], ["node", "hashes"]
             )
 
-    texts = docs.select("text_key", "text").join(wanted, "text_key").select("node", "text")
+    likely = perhaps_wanted(docs.select("text_key", "text"), wanted)
+    texts = likely.join(wanted, "text_key").select("node", "text")
     # A repeated row (same id, same text) finds the same node more than once.
     return texts.mapInArrow(run, "node long, hashes binary").dropDuplicates(["node"])
 
@@ -434,9 +460,9 @@ def near_components(
     cut = stored(bands(sketch.join(nodes, "node", "left_semi")))
     shared = cut.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("n"))
     member = stored(cut.join(stored(shared.where("n > 1").drop("n")), "key"))
-    wanted = member.select("node").distinct()
-    labels = stored(wanted.withColumn("comp", F.col("node")))
-    sets = stored(sets_of(keyed, sketch.join(wanted, "node").select("node", "text_key"), words))
+    labels = stored(member.select("node").distinct().withColumn("comp", F.col("node")))
+    keys = stored(sketch.join(labels.select("node"), "node").select("node", "text_key"))
+    sets = stored(sets_of(keyed, keys, words))
 
     def joined(labels: DataFrame, pairs: DataFrame, best: bool) -> DataFrame:
         likely = plausible(pairs, sketch, percent)
@@ -519,7 +545,7 @@ def near_components(
         pairs = found if pairs is None else pairs.unionByName(found)
         # Pairs with a member that hardly resembles m: both are far from it. The few members of a
         # small bucket are paired at once, larger ones go on to another m, unless all their pairs
-        # are no more than the classes.
+        # are no more than a few for each class.
         far = measured.where(F.col("estimate") < FAR).select("m", "node", "estimate")
         low = stored(grouped.select("key", "m", "node", "comp").join(far, ["m", "node"]))
         left = low.groupBy("key").agg(
@@ -530,7 +556,7 @@ def near_components(
         low = stored(low.join(keys, "key"))
         wide = low.where(F.col("members") > FEW)
         twice = wide.agg(F.sum("members")).first()[0] or 0
-        last = round_ == ROUNDS - 1 or twice <= 2 * texts
+        last = round_ == ROUNDS - 1 or twice <= 2 * PAIRS * texts
         pairs = pairs.unionByName(apart(low if last else low.where(F.col("members") <= FEW)))
         if last:
             break
