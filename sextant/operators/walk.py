@@ -6,7 +6,9 @@ area, for all objectives together; each step is a stored table. There are as man
 longest walk has, whatever the number of objectives.
 
 What an area or its hottest unit offers is cut once to what a walk can use up: its caps and what it
-may have visited by then, so no step reads a hub's or a large area's whole list.
+may have visited by then, so no step reads a hub's or a large area's whole list. What is left is a
+short list for each area, and a step takes what is new of an objective's lists in one row; only what it
+takes becomes rows. Words are matched by the terms that meet anything of the map at all.
 """
 
 from __future__ import annotations
@@ -18,20 +20,20 @@ from pyspark.sql import functions as F
 
 from sextant.functions import paths as P
 from sextant.functions.numeric import clamp01, percent_label
-from sextant.functions.text import match_count, symbol_terms
-from sextant.operators.search import RETRIEVAL_FLOOR, STRATEGIES, SearchMap, SearchOptions
-from sextant.operators.symbols import best_symbols, with_terms
+from sextant.functions.text import identifier_tokens, match_count, symbol_terms
+from sextant.operators.search import RETRIEVAL_FLOOR, STRATEGIES, SearchMap, SearchOptions, of_anchors
+from sextant.operators.symbols import best_symbols, term_tokens, with_terms
 from sextant.operators.tree import by_priority
-from sextant.session import cut_lineage
+from sextant.session import cut_lineage, join_in_blocks
 
 TRAIL = "array<struct<from:string,chosen:string,confidence:double,strategy:string,relation:string>>"
 UNIT = ["priority", "confidence", "drivers"]
 
 
 def lexical_odds(offered: DataFrame) -> DataFrame:
-    """``offered`` (objective, terms, path, exports) with the probability of each candidate and the
-    confidence of each choice: the words that match, shared out among an objective's candidates."""
-    hits = match_count(F.col("terms"), symbol_terms(F.col("path"), F.col("exports"))).cast("double")
+    """``offered`` (objective, terms, met, path, exports) with the probability of each candidate and
+    the confidence of each choice: the words that match, shared out among an objective's candidates."""
+    hits = match_count(F.col("met"), symbol_terms(F.col("path"), F.col("exports"))).cast("double")
     choice = Window.partitionBy("objective")
     total = F.sum("hits").over(choice) + F.lit(0.05) * F.count(F.lit(1)).over(choice)
     return offered.withColumn("hits", hits).withColumns(
@@ -43,10 +45,10 @@ def lexical_odds(offered: DataFrame) -> DataFrame:
 
 
 def lexical_relevance(listed: DataFrame) -> DataFrame:
-    """``listed`` (objective, terms, path) with relevance and its confidence."""
+    """``listed`` (objective, terms, met, path) with relevance and its confidence."""
     terms = F.size("terms")
     none = F.array().cast("array<string>")
-    share = match_count(F.col("terms"), symbol_terms(F.col("path"), none)) / terms
+    share = match_count(F.col("met"), symbol_terms(F.col("path"), none)) / terms
     return listed.withColumns(
         {
             "relevance": F.when(terms > 0, F.least(share, F.lit(1.0))).otherwise(0.0),
@@ -55,21 +57,57 @@ def lexical_relevance(listed: DataFrame) -> DataFrame:
     )
 
 
+def with_met_terms(objectives: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``objectives`` with ``terms`` and ``met``, those of them that match any node; stored."""
+    asked = cut_lineage(with_terms(objectives).withColumn("row", F.monotonically_increasing_id()))
+    path = F.col("path")
+    tokens = F.coalesce(symbol_terms(path, F.col("exports")), identifier_tokens(path))
+    vocabulary = cut_lineage(nodes.select(F.explode(tokens).alias("token")).distinct())
+    known = cut_lineage(term_tokens(asked, vocabulary).select("term").distinct())
+    met = (
+        asked.select("row", F.explode("terms").alias("term")).join(known, "term")
+        .groupBy("row").agg(F.sort_array(F.collect_list("term")).alias("met"))
+    )
+    none = F.array().cast("array<string>")
+    return cut_lineage(
+        asked.join(met, "row", "left").drop("row").withColumn("met", F.coalesce("met", none))
+    )
+
+
 @dataclass
 class Offers:
-    """What there is to choose from: ``near`` of an area by descending, ``related`` of a unit, and
-    ``symbols`` of an objective; each with the order (``slot``) in its strategy."""
+    """What there is to choose from: ``areas`` (area, and a list for each strategy but symbols) and
+    ``symbols`` of an objective (objective, symbols). Lists have structs of path and relation, in
+    the order of their strategy, each path once."""
 
-    near: DataFrame
-    related: DataFrame
+    areas: DataFrame
     symbols: DataFrame
 
 
+OFFERED = "array<struct<path:string,relation:string>>"
+
+
 def first_of(rows: DataFrame, keys: list[str], order: list[Column], keep: int) -> DataFrame:
     window = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("slot", F.row_number().over(window)).where(F.col("slot") <= keep)
 
 
+def in_lists(rows: DataFrame, key: str) -> DataFrame:
+    """key and a list for each strategy of rows (key, strategy, slot, path, relation): what it offers
+    twice (a child within reach) counts where it comes first."""
+    first = F.min_by("relation", "slot").alias("relation")
+    once = rows.groupBy(key, "strategy", "path").agg(F.min("slot").alias("slot"), first)
+
+    def listed(strategy: str) -> Column:
+        row = F.struct("slot", "path", "relation")
+        of_strategy = F.array_sort(F.collect_list(F.when(F.col("strategy") == strategy, row)))
+        return F.transform(
+            of_strategy, lambda r: F.struct(r["path"].alias("path"), r["relation"].alias("relation"))
+        ).cast(OFFERED).alias(strategy)
+
+    return once.groupBy(key).agg(*(listed(strategy) for strategy in STRATEGIES))
+
+
 def offers(map_: SearchMap, objectives: DataFrame, options: SearchOptions) -> Offers:
     visited = (options.budget + 1) * (options.branch + 1)
     picked = options.max_descend + options.max_symbols + 3 * options.max_related
@@ -91,27 +129,11 @@ def offers(map_: SearchMap, objectives: DataFrame, options: SearchOptions) -> Of
         F.col("tier") == 0,
         F.when(F.col("kind") == "unit", "file in this area").otherwise("sub-area"),
     ).otherwise(F.concat((F.col("up") + 1).cast("string"), F.lit(" levels down")))
-    related = first_of(
-        map_.relations, ["path", "strategy"], [F.col("place"), F.col("target")], enough
+    anchors, of_hottest = of_anchors(nodes, map_.relations)
+    related = first_of(of_hottest, ["path", "strategy"], [F.col("place"), F.col("target")], enough).select(
+        F.col("path").alias("hot"), "strategy", F.col("target").alias("path"), "slot", "strength"
     )
-    symbols = best_symbols(objectives, nodes, picked + 1)
-    return Offers(
-        cut_lineage(near.select("area", "path", "slot", relation.alias("relation"))),
-        cut_lineage(
-            related.select(
-                F.col("path").alias("anchor"), "strategy", F.col("target").alias("path"), "slot", "strength"
-            )
-        ),
-        cut_lineage(symbols),
-    )
-
-
-def candidates(
-    popped: DataFrame, visited: DataFrame, found: Offers, nodes: DataFrame, root: str,
-    options: SearchOptions,
-) -> DataFrame:
-    """objective, area, path, strategy, relation of what each popped area (objective, area, hot)
-    offers. Strategies go in order; what is visited or picked before uses up no cap."""
+    known = related.join(nodes.select("path").distinct(), "path", "left_semi")
     label = P.relative_to(F.col("area"), F.col("hot"))
     texts = {
         "imports": F.concat(F.lit("imported by "), label),
@@ -123,38 +145,61 @@ def candidates(
     text = F.lit(None).cast("string")
     for strategy, value in texts.items():
         text = F.when(F.col("strategy") == strategy, value).otherwise(text)
-    columns = ["objective", "area", "path", "strategy", "slot", "relation"]
-    descend = popped.join(found.near, "area").withColumn("strategy", F.lit("descend"))
-    symbols = popped.where(F.col("area") == root).join(found.symbols, "objective").withColumns(
+    columns = ["area", "strategy", "slot", "path", "relation"]
+    of_area = near.withColumn("strategy", F.lit("descend")).withColumn("relation", relation)
+    of_hot = cut_lineage(known).join(anchors.distinct(), "hot").withColumn("relation", text)
+    lists = in_lists(of_area.select(*columns).unionByName(of_hot.select(*columns)), "area")
+    # An area that offers nothing has a row as well, at the root symbols may be all there is.
+    areas = nodes.where("kind = 'area'").select(F.col("path").alias("area")).distinct()
+    symbols = best_symbols(objectives, nodes, picked + 1).withColumns(
         {"strategy": F.lit("symbols"), "relation": F.concat(F.lit('matches "'), "label", F.lit('"'))}
     )
-    related = popped.where("hot IS NOT NULL").join(
-        found.related.withColumnRenamed("anchor", "hot"), "hot"
-    ).withColumn("relation", text)
-    offered = descend.select(*columns).unionByName(symbols.select(*columns)).unionByName(
-        related.select(*columns)
+    return Offers(
+        cut_lineage(areas.join(lists.drop("symbols"), "area", "left")),
+        cut_lineage(in_lists(symbols, "objective").select("objective", "symbols")),
     )
-    fresh = offered.where("path != area").join(visited, ["objective", "path"], "left_anti")
-    known = fresh.join(nodes.select("path").distinct(), "path", "left_semi")
+
+
+def candidates(
+    popped: DataFrame, visited: DataFrame, found: Offers, root: str, options: SearchOptions
+) -> DataFrame:
+    """objective, area, path, strategy, relation of what each popped area (objective, area) offers.
+    Strategies go in order; what is visited or picked before uses up no cap."""
+    seen = visited.groupBy("objective").agg(F.collect_set("path").alias("seen"))
+    symbols = found.symbols.withColumn("area", F.lit(root))
+    asked = (
+        popped.select("objective", "area").distinct().join(seen, "objective", "left")
+        .join(symbols, ["objective", "area"], "left")
+    )
     caps = dict.fromkeys(STRATEGIES, options.max_related) | {
         "descend": options.max_descend, "symbols": options.max_symbols
     }
-    rows = known.withColumns({"taken": F.lit(False), "picked": F.lit(False)})
-    of_path = Window.partitionBy("objective", "path")
+    none = F.array().cast("array<string>")
+    # Many walks may be at one area: they meet its lists in blocks, not in one task.
+    rows = join_in_blocks(cut_lineage(asked), found.areas, "area", block=100).withColumn(
+        "seen", F.array_union(F.coalesce("seen", none), F.array("area"))
+    )
     for strategy in STRATEGIES:
-        # A path that a strategy offers twice (a child within reach) counts once.
-        open_ = (F.col("strategy") == strategy) & ~F.col("taken")
-        once = Window.partitionBy("objective", "path", "open").orderBy("slot")
-        order = Window.partitionBy("objective", "first").orderBy("slot", "path")
-        rows = (
-            rows.withColumn("open", open_)
-            .withColumn("first", F.col("open") & (F.row_number().over(once) == 1))
-            .withColumn("at", F.row_number().over(order))
-            .withColumn("pick", F.col("first") & (F.col("at") <= caps[strategy]))
-            .withColumn("picked", F.col("picked") | F.col("pick"))
-            .withColumn("taken", F.max("picked").over(of_path))
+        listed = F.col(strategy)
+        taken = F.slice(F.array_except(listed["path"], F.col("seen")), 1, caps[strategy])
+        rows = rows.withColumn("taken", F.coalesce(taken, none)).withColumns(
+            {
+                "seen": F.array_union("seen", "taken"),
+                strategy: F.coalesce(
+                    F.filter(listed, lambda offer: F.array_contains("taken", offer["path"])),
+                    F.array().cast(OFFERED),
+                ),
+            }
         )
-    return rows.where("picked").select("objective", "area", "path", "strategy", "relation")
+
+    def picked(strategy: str) -> Column:
+        return F.transform(strategy, lambda o: F.struct("area", F.lit(strategy), o["path"], o["relation"]))
+
+    picks = F.explode(F.concat(*map(picked, STRATEGIES))).alias("pick")
+    pick = "struct<area:string,strategy:string,path:string,relation:string>"
+    return rows.select("objective", picks).select("objective", F.col("pick").cast(pick).alias("pick")).select(
+        "objective", "pick.*"
+    )
 
 
 @dataclass
@@ -171,8 +216,8 @@ def walk_all(
 ) -> Walks:
     """Walk the map for every objective (objective, intent). ``odds`` adds ``probability`` and
     ``sure`` (the confidence of the choice) to the candidates of all objectives of a step."""
-    asked = cut_lineage(with_terms(objectives))
     nodes = map_.nodes
+    asked = objectives if "met" in objectives.columns else with_met_terms(objectives, nodes)
     offered = offers(map_, asked, options)
     start = nodes.where(F.col("path") == map_.root).select("path", "kind", "hot")
     root = cut_lineage(start).first()
@@ -213,10 +258,11 @@ def walk_all(
             visited.unionByName(ahead.select("objective", "path")).unionByName(
                 popped.select("objective", F.col("area").alias("path")))
         )
-        offered_now = candidates(popped, visited, offered, nodes, map_.root, options)
+        offered_now = candidates(popped, visited, offered, map_.root, options)
         facts = nodes.select("path", "kind", "hot", "exports")
+        words = asked.select("objective", "terms", "met")
         judged = cut_lineage(
-            odds(offered_now.join(facts, "path").join(asked.select("objective", "terms"), "objective"))
+            odds(offered_now.join(facts, "path").join(words, "objective")).drop("terms", "met", "exports")
         )
         chosen = first_of(
             judged.where((F.col("probability") > 0) & (F.col("sure") >= options.min_confidence)),
@@ -273,7 +319,11 @@ def shortlists(map_: SearchMap, walks: Walks, options: SearchOptions) -> DataFra
     listed = F.array_sort(F.collect_list(F.struct("visit", "path", *UNIT)))
     leading = cut_lineage(leaders).agg(listed.alias("listed")).scalar()
     taken = hits.groupBy("objective").agg(F.collect_set("path").alias("taken"))
-    free = walks.states.select("objective").join(taken, "objective", "left").withColumn("leading", leading)
+    # Each of the few bytes of a walk's state becomes a shortlist: dealt out by number, not by size.
+    partitions = int(map_.nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    free = walks.states.select("objective").repartition(partitions, "objective").join(
+        taken, "objective", "left"
+    ).withColumn("leading", leading)
     none = F.array().cast("array<string>")
     unseen = F.filter("leading", lambda u: ~F.array_contains(F.coalesce("taken", none), u["path"]))
     room = F.greatest(F.lit(size) - F.size(F.coalesce("taken", none)), F.lit(0))
@@ -290,10 +340,9 @@ def search_all(
 ) -> DataFrame:
     """objective, position, path, relevance, relevance_confidence, priority, drivers, confidence,
     trail: the ranked opportunities of every objective."""
-    walks = walk_all(map_, objectives, options, odds)
-    listed = shortlists(map_, walks, options).join(
-        with_terms(objectives).select("objective", "terms"), "objective"
-    )
+    asked = with_met_terms(objectives, map_.nodes)
+    walks = walk_all(map_, asked, options, odds)
+    listed = shortlists(map_, walks, options).join(asked.select("objective", "terms", "met"), "objective")
     judged = relevance(listed).withColumns(
         {
             "relevance": F.coalesce("relevance", clamp01(F.col("retrieval"))),
